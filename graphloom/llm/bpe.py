@@ -208,7 +208,8 @@ class Prefixes:
         return out[::-1]
 
 
-_CODECS: dict[int, Codec] = {}
+#: One codec for each vocabulary a worker has met.
+_CODECS: dict[str, Codec] = {}
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -220,7 +221,9 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
     replaced. The rank file (its size is the vocabulary's) is read on the driver
     and sent once to each executor.
     """
-    ranks = docs.sparkSession.sparkContext.broadcast((read_ranks(ranks_path), pattern))
+    table = read_ranks(ranks_path)
+    named = hashlib.sha256(repr((pattern, sorted(table.items()))).encode()).hexdigest()
+    ranks = docs.sparkSession.sparkContext.broadcast((table, pattern))
     made = ("n_tokens", "ids_sha256", "decoded_sha256")
     keep = [f for f in docs.schema.fields if f.name not in made]
     docs = docs.select(*[F.col(f"`{f.name}`") for f in keep])
@@ -230,8 +233,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
         codec = None
         for b in batches:
             if codec is None:
-                key = id(ranks)
-                codec = _CODECS.get(key) or _CODECS.setdefault(key, Codec(*ranks.value))
+                codec = _CODECS.get(named) or _CODECS.setdefault(named, Codec(*ranks.value))
             got = [codec.digest(t or "") for t in b.column(text).to_pylist()]
             n, ids, dec = zip(*got, strict=True) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays(

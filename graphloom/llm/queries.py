@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, chat, simhash, urls
+from graphloom.llm import bpe, chat, simhash, toxicity, urls
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,14 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _t(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, model).select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.simhash_components(_t(spark, sf_dir, "documents"), words_per_shingle=3)
     return out.select("doc_id", simhash.to_hex("fp").alias("fingerprint"), "component_id")
@@ -103,6 +111,7 @@ LEFT JOIN done r ON r.pair_id = p.pair_id AND NOT r.chosen
 
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
     "op9_url_filter": op9_url_filter,
     "op10_chat_preferences": op10_chat_preferences,
