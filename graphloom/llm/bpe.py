@@ -23,8 +23,12 @@ from pyspark.sql import types as T
 
 #: Pieces remembered by a worker, and the longest remembered piece; longer or
 #: later ones are encoded anew, so these bound memory and never change a result.
-CACHE_PIECES = 800_000
+CACHE_PIECES = 600_000
 CACHE_BYTES = 48
+#: Lengths tried where no longer token fits.
+SHORT = (3, 2, 1)
+#: Lengths of the beginnings whose last tokens are remembered, longest first.
+SHARED = (12, 9, 7, 5, 3)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -41,7 +45,6 @@ class Codec:
 
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
-        self.named = {str(i): t for i, t in self.tokens.items()}
         self.find = regex.compile(pattern).findall
         self.longest = max(map(len, ranks), default=1)
         self.pairs: dict[tuple[int, int], int] = {}
@@ -53,12 +56,15 @@ class Codec:
                 self.pairs[parts[0], parts[1]] = rank
             else:
                 self.split[rank] = (rank, rank)
-        #: Lengths, longest first, of the tokens that end in two given bytes.
+        #: Lengths, longest first, of the tokens that end in four given bytes.
         ends: dict[bytes, set[int]] = {}
         for token in ranks:
-            ends.setdefault(token[-2:], {1}).add(len(token))
-        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items() if len(k) == 2}
-        self.cache: dict[str, str] = {}
+            if len(token) > 3:
+                ends.setdefault(token[-4:], {1, 2, 3}).add(len(token))
+        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
+        self.cache: dict[str, tuple[str, bytes, int]] = {}
+        self.judged: dict[int, bool] = {}
+        self.seen: dict[bytes, tuple[int, ...]] = {}
 
     def _merge(self, data: bytes, below: int) -> list[int]:
         """Plain BPE that uses only ranks under ``below``; for the tables."""
@@ -103,14 +109,31 @@ class Codec:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        ranks, lengths, follow, last = self.ranks.get, self.lengths, self.may_follow, [-1]
-        for end in range(1, len(data) + 1):
-            for n in lengths.get(data[end - 2 : end], (1,)) if end > 1 else (1,):
+        ranks, lengths, follow, seen, judged = self.ranks.get, self.lengths, self.may_follow, self.seen, self.judged.get
+        last = [-1]
+        for n in SHARED:  # what is stored for a beginning holds for all its continuations
+            if n < len(data) and (hit := seen.get(data[:n])) is not None:
+                last = list(hit)
+                break
+        for end in range(len(last), len(data) + 1):
+            for n in lengths.get(data[end - 4 : end], SHORT) if end > 3 else SHORT:
                 if n <= end:
                     t = ranks(data[end - n : end])
-                    if t is not None and (n == end or follow(last[end - n], t)):
-                        break
+                    if t is not None:
+                        if n == end:
+                            break
+                        pair = last[end - n] << 32 | t
+                        if (fits := judged(pair)) is None:
+                            if len(self.judged) >= CACHE_PIECES:
+                                self.judged.clear()
+                            fits = self.judged[pair] = follow(last[end - n], t)
+                        if fits:
+                            break
             last.append(t)
+            if end in SHARED:
+                if len(seen) >= CACHE_PIECES:
+                    seen.clear()
+                seen[data[:end]] = tuple(last)
         out, end = [], len(data)
         while end:
             t = last[end]
@@ -131,27 +154,24 @@ class Codec:
         """(tokens, sha256 of the ids, sha256 of the decoded bytes)."""
         ids, decoded, n, gap = hashlib.sha256(), hashlib.sha256(), 0, b""
         pieces = self.find(text)
-        cache = self.cache
+        known, learn = self.cache.get, self.learn
         for at in range(0, len(pieces), 65_536):
-            some = pieces[at : at + 65_536]
-            for p in set(some).difference(cache):
-                self.learn(p)
-            said = " ".join([cache[p] if p in cache else self.spell(p) for p in some])
-            numbers = said.split(" ")
-            n += len(numbers)
-            ids.update(gap + said.encode())
+            got = [known(p) or learn(p) for p in pieces[at : at + 65_536]]
+            ids.update(gap + " ".join([x[0] for x in got]).encode())
+            decoded.update(b"".join([x[1] for x in got]))
+            n += sum([x[2] for x in got])
             gap = b" "
-            decoded.update(b"".join([self.named[i] for i in numbers]))
         return n, ids.hexdigest(), decoded.hexdigest()
 
-    def spell(self, piece: str) -> str:
-        return " ".join(map(str, self.encode_piece(piece.encode())))
-
-    def learn(self, piece: str) -> None:
+    def learn(self, piece: str) -> tuple[str, bytes, int]:
+        """A piece's ids as text, what these ids decode to, and how many they are."""
+        ids = self.encode_piece(piece.encode())
+        made = (" ".join(map(str, ids)), self.decode(ids), len(ids))
         if len(piece) <= CACHE_BYTES:
             if len(self.cache) >= CACHE_PIECES:
                 self.cache.clear()
-            self.cache[piece] = self.spell(piece)
+            self.cache[piece] = made
+        return made
 
 
 class Prefixes:
