@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, chat, decontaminate, simhash, toxicity, urls
+from graphloom.llm import ann, bpe, chat, decontaminate, simhash, toxicity, urls
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.to_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_t(spark, sf_dir, "embeddings"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
 
@@ -117,6 +121,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
+    "op7_nearest": op7_nearest,
     "op8_decontamination": op8_decontamination,
     "op9_url_filter": op9_url_filter,
     "op10_chat_preferences": op10_chat_preferences,
