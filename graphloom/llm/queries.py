@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import ann, bpe, chat, decontaminate, simhash, toxicity, urls
+from graphloom.llm import ann, bpe, chat, decontaminate, pii, simhash, toxicity, urls
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,17 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.to_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(_t(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *[count(k) for k in ("email", "ip", "card", "phone")],
+        F.sha2(pii.joined("base"), 256).alias("base_sha256"),
+        pii.joined("spans").alias("spans"),
+    )
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_t(spark, sf_dir, "embeddings"))
 
@@ -121,6 +132,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
+    "op6_pii": op6_pii,
     "op7_nearest": op7_nearest,
     "op8_decontamination": op8_decontamination,
     "op9_url_filter": op9_url_filter,
