@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import ann, bpe, chat, decontaminate, pii, simhash, toxicity, urls
+from graphloom.llm import ann, bpe, chat, decontaminate, licenses, pii, simhash, toxicity, urls
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(_t(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -129,6 +133,7 @@ LEFT JOIN done r ON r.pair_id = p.pair_id AND NOT r.chosen
 """
 
 QUERIES = {
+    "op1_licenses": op1_licenses,
     "op2_byte_bpe": op2_byte_bpe,
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
