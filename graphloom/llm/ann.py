@@ -31,7 +31,7 @@ BLOCKS, REACH = 8, 2
 #: Rows of a slice of a range, about.
 SLICE = 40_000
 #: Vectors that the key quantiles are taken from, at most.
-SAMPLE = 20_000
+SAMPLE = 4_000
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
