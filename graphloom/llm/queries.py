@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import ann, bpe, chat, decontaminate, licenses, pii, simhash, toxicity, urls
+from graphloom.llm import ann, bpe, chat, decontaminate, licenses, pii, simhash, suffixes, toxicity, urls
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.remove_repeats(_t(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, _t(spark, sf_dir, "labels"))
@@ -135,6 +140,7 @@ LEFT JOIN done r ON r.pair_id = p.pair_id AND NOT r.chosen
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
     "op6_pii": op6_pii,
