@@ -140,12 +140,17 @@ def _with_end(batches: Iterator) -> Iterator:
 def near_links(reps: DataFrame, stage: Stage, radius: int = RADIUS) -> DataFrame:
     """Distinct ``(fp, rep)`` to links ``(a, b)`` between reps that span each close group.
 
+    With a column ``t`` besides (a number), fingerprints of different ``t`` are
+    different tables, and only those of one table are compared.
+
     Any two fingerprints within ``radius`` (at most 3) are linked, directly or
     through others of a shared key.
     """
     if radius > 3:
         raise ValueError("six blocks guarantee pairs within 3 bits")
-    keyed = reps.select(F.explode(F.array(*_keys())).alias("k"), "fp", "rep").select("k.n", "k.bits", "fp", "rep")
+    table = F.col("t") if "t" in reps.columns else F.lit(0)
+    keyed = reps.select(F.explode(F.array(*_keys())).alias("k"), table.alias("t"), "fp", "rep")
+    keyed = keyed.select((F.col("t") * 20 + F.col("k.n")).cast("smallint").alias("n"), "k.bits", "fp", "rep")
     sizes = keyed.groupBy("n", "bits").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     keyed = keyed.join(sizes, ["n", "bits"])
     small = keyed.where(F.col("size") <= RUN).select("n", "bits", F.lit(0).alias("part"), F.lit(0).alias("side"), "fp", "rep")
