@@ -22,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.plans.staging import Stage
+from graphloom.plans.staging import Stage, small_batches
 
 LENGTH, GRAM = 50, 20
 WINDOWS = LENGTH - GRAM + 1  # windows that one gram can stand in
@@ -324,8 +325,12 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, marks, whole) to the digest columns."""
     for b in batches:
         out = []
-        for data, marks, whole in zip(_bytes(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            spans = removed_spans(len(data), marks or [], bool(whole))
+        flat = b.column(2).flatten()
+        pos, mask = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+        stop = np.cumsum(pc.fill_null(pc.list_value_length(b.column(2)), 0).to_numpy(zero_copy_only=False))
+        start = np.r_[0, stop[:-1]]
+        for i, (data, whole) in enumerate(zip(_bytes(b.column(1)), b.column(3).to_pylist(), strict=True)):
+            spans = removed_spans(len(data), pos[start[i] : stop[i]], mask[start[i] : stop[i]], bool(whole))
             kept, at = hashlib.sha256(), 0
             for s, e in spans:
                 kept.update(data[at:s])
@@ -339,14 +344,12 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def removed_spans(size: int, marks: list[dict], whole: bool) -> list[tuple[int, int]]:
+def removed_spans(size: int, pos: np.ndarray, mask: np.ndarray, whole: bool) -> list[tuple[int, int]]:
     """Maximal runs of bytes under a covered window."""
     if whole:
         return [(0, size)] if size >= LENGTH else []
-    if not marks:
+    if not len(pos):
         return []
-    pos = np.array([m["pos"] for m in marks])
-    mask = np.array([m["mask"] for m in marks])
     r, j = np.nonzero((mask[:, None] >> np.arange(WINDOWS)) & 1)
     start = np.unique(pos[r] - j)
     cut = np.flatnonzero(start[1:] > start[:-1] + LENGTH)
@@ -367,8 +370,14 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     A byte goes if a 50-byte string over it also starts in a document of smaller
     doc_id. Null texts are empty. Rows of one doc_id are not smaller than each
     other. A row whose doc_id is null keeps all and takes nothing from others.
-    Extra columns are ignored.
+    Extra columns are ignored. Runs at once, in Arrow batches small enough for
+    long texts, and returns a scan of what it wrote.
     """
+    with small_batches(docs.sparkSession):
+        return _remove_repeats(docs, hot)
+
+
+def _remove_repeats(docs: DataFrame, hot: int) -> DataFrame:
     spark = docs.sparkSession
     stage = Stage(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -404,9 +413,10 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     whole = copies.select("doc", "tid", F.array().cast("array<struct<pos:bigint,mask:bigint>>").alias("marks"), F.lit(True).alias("whole"))
     notes = per_doc.unionByName(whole)
     out = docs.join(notes, (docs["doc_id"] == notes["doc"]) & (docs["tid"] == notes["tid"]), "left")
-    return out.select("doc_id", "text", "marks", "whole").mapInArrow(
+    done = out.select("doc_id", "text", "marks", "whole").mapInArrow(
         _finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string"
     )
+    return stage.cut(done)
 
 
 def _judge_hot(ctx: DataFrame) -> DataFrame:
