@@ -31,7 +31,8 @@ from graphloom.plans.staging import Stage, small_batches
 LENGTH, GRAM = 50, 20
 WINDOWS = LENGTH - GRAM + 1  # windows that one gram can stand in
 BEFORE, AFTER = LENGTH - GRAM, LENGTH
-HOT = 20_000
+#: Texts of one gram that a task takes: about 16 MB of contexts.
+HOT = 150_000
 #: Bytes handled at once when grams are hashed; an anchor's place fits in 24 bits.
 CHUNK = 1 << 20
 PLACE = np.uint64((1 << 24) - 1)
@@ -40,7 +41,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 
 def gram_hashes(buf: np.ndarray) -> np.ndarray:
     """Mixed polynomial hash of the 20 bytes from each position (16 and 4 by doubling)."""
-    power, cur, four, mult4 = BASE, buf.astype(np.uint64) + np.uint64(1), None, None
+    power, cur, four, mult4 = np.array([BASE]), buf.astype(np.uint64) + np.uint64(1), None, None
     size = 1
     while size < 16:
         cur = cur[:-size] * power + cur[size:]
@@ -359,9 +360,12 @@ def removed_spans(size: int, pos: np.ndarray, mask: np.ndarray, whole: bool) ->
 def _free(spark) -> None:
     """Let the driver forget shuffles that nothing reads, so that their files go."""
     import gc
+    import time
 
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what the first pass finds unreachable may hold the rest
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
