@@ -1,7 +1,7 @@
 """Benchmark decontamination in Catalyst expressions only.
 
-Item-sized windows of a document are laid where one of its word shingles is a
-shingle of the item: a window of similarity above zero shares one, so no other
+Item-sized windows of a document are laid around places where its word shingles
+are shingles of the item: a window of enough similarity shares many, so no other
 window can qualify. Every window and item has a SimHash of its shingle hashes;
 multi-index Hamming blocks (``radius + 1`` of them) find all fingerprints within
 the radius, and the exact weighted-shingle similarity, sum of smaller over sum
@@ -56,6 +56,26 @@ def _blocks(fp: str, radius: int) -> Column:
     )
 
 
+def _starts(one: str, size: Column, similarity: float) -> Column:
+    """Window starts that the shared places leave possible.
+
+    The first shared shingle of a window of enough similarity stands at most
+    ``(1 - similarity) * m`` from both the window's and the item's beginning, so
+    starts lie that near to a shared alignment; and the window must hold enough
+    shared places for its own length, which is shorter at a document's edge.
+    """
+    m, ats, seen = F.col(one)["m"], F.col(one)["ats"], F.col(one)["seen"]
+    slack = F.ceil(m * (1 - similarity)).cast("int")
+    near = F.array_distinct(F.flatten(F.transform(ats, lambda a: F.sequence(a - slack, a + slack))))
+
+    def possible(s: Column) -> Column:
+        inside = F.size(F.filter(seen, lambda p: (p >= s) & (p < s + m)))
+        length = F.least(s + m, size) - F.greatest(s, F.lit(0))
+        return (length > 0) & (inside * (1 + similarity) >= similarity * (length + m) - 1e-9)
+
+    return F.filter(near, possible)
+
+
 def weighted_similarity(a: Column, b: Column) -> Column:
     """Sum of the smaller over the sum of the larger multiplicities of two arrays."""
     count = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
@@ -98,13 +118,13 @@ def leaks(
             .agg(F.collect_set("pos").alias("seen"), F.collect_set(F.col("pos") - F.col("off")).alias("ats"))
             .where(F.size("seen") >= F.col("m") * similarity - 1e-9)
         )
-        wanted = pairs.groupBy("key").agg(F.collect_list(F.struct("item_id", "m", "ats")).alias("wanted"))
+        wanted = pairs.groupBy("key").agg(F.collect_list(F.struct("item_id", "m", "ats", "seen")).alias("wanted"))
         lo, hi = F.greatest("at", F.lit(0)), F.least(F.col("at") + F.col("m"), F.size("hs"))
         windows = (
             source.join(wanted, "key")
             .select("key", shingles_of("w", k).alias("hs"), "wanted")
             .select("key", "hs", F.explode("wanted").alias("one"))
-            .select("key", "hs", "one.item_id", "one.m", F.explode("one.ats").alias("at"))
+            .select("key", "hs", "one.item_id", "one.m", F.explode(_starts("one", F.size("hs"), similarity)).alias("at"))
             .select("key", "item_id", lo.alias("start"), F.slice("hs", lo + 1, hi - lo).alias("win"), F.lit(k).alias("k"))
             .dropDuplicates(["key", "item_id", "start", "win"])
             .withColumn("fp", simhash_of(F.col("win")))
