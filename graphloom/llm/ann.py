@@ -28,6 +28,8 @@ DIMS, BITS = 6, 5
 #: Directions of 64-dimensional embeddings are nearly independent of any few
 #: projections, so the windows have to be wide for a recall of 0.9.
 BLOCKS, REACH = 8, 2
+#: So few distinct vectors are read whole: windows might hold fewer than ``k``.
+WHOLE = 1000
 #: Rows of a slice of a range, about.
 SLICE = 40_000
 #: Vectors that the key quantiles are taken from, at most.
@@ -126,6 +128,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id
     kept = rows.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
     groups = stage.cut(kept.groupBy("h", "v").agg(F.sort_array(F.collect_list("id")).alias("ids")))
     n, scale = groups.agg(F.count("*"), F.sqrt(F.avg(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()
+    reach = BLOCKS if n <= WHOLE else reach
     shape = Curves(width, float(scale) or 1.0)
     sample = groups.select("v").orderBy("h").limit(SAMPLE).collect()
     cuts = [np.quantile(x, np.arange(1, BLOCKS) / BLOCKS) for x in shape.keys(np.array([r.v for r in sample], np.float64))]
@@ -147,7 +150,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id
                     idx.append(np.arange(b.num_rows))
                     part.append(((c * BLOCKS + home) * slices + np.abs(own // 64) % slices))
                     continue
-                middle = np.clip(home, reach, BLOCKS - 1 - reach)  # windows at an end keep their size
+                side = min(reach, (BLOCKS - 1) // 2)
+                middle = np.clip(home, side, BLOCKS - 1 - side)  # windows at an end keep their size
                 for block in range(BLOCKS):
                     inside = np.flatnonzero((np.abs(block - middle) <= reach) | (block >= lo) & (block <= hi))
                     for s in range(slices):

@@ -1,0 +1,482 @@
+"""The corpus operators against brute force, and on rows that are easy to get wrong."""
+
+import hashlib
+import json
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from graphloom.llm import ann, bpe, chat, decontaminate, licenses, neardup, pii, queries, simhash, suffixes, toxicity, urls
+
+RANKS = P.path("byte_bpe_50k.tiktoken")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string, base int, key int, h long, node string, fp string"
+LONG = "lorem ipsum dolor " * 9000
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), 0.5, "x", 1, 2, 3, "n", "f") for i, t in rows], DOCS)
+
+
+ODD = [
+    (1, None), (2, ""), (3, "   \n\t "), (4, "one"), (5, "Two words"), (6, LONG), (7, "a" * 30_000), (8, "1 " * 6000), (8, "1 " * 6000), (9, "9" * 5000),
+    (None, "no id at all, but a text of some words"), (10, "tie tie tie tie tie tie"), (11, "tie tie tie tie tie tie"), (12, "é漢😀 \u00a0 mixed ÀÉ\r\nlines"),
+]
+EMPTY = hashlib.sha256(b"").hexdigest()
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return docs(spark, ODD)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return docs(spark, [])
+
+
+# -- 2 -------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def codec():
+    return bpe.Codec(bpe.read_ranks(RANKS), P.PATTERN)
+
+
+@pytest.fixture(scope="module")
+def reference(codec):
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+
+
+def test_bpe_is_that_of_the_library(codec, reference, spark, small):
+    texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect()]
+    r = random.Random(3)
+    texts += ["".join(r.choice("aab  \n\té漢😀thein's<|endoftext|>019") for _ in range(r.randint(0, 90))) for _ in range(200)]
+    texts += ["a" * 3000, " " * 500, "x" * 200 + "\n" * 50]
+    for t in texts:
+        ids = reference.encode_ordinary(t)
+        assert codec.encode(t) == ids and codec.decode(ids) == t.encode()
+
+
+def test_bpe_appends_and_edits(codec):
+    r = random.Random(4)
+    for _ in range(40):
+        data = bytes(r.choice(b"aber then in ") for _ in range(60))
+        p = bpe.Prefixes(codec, data[:20])
+        p.append(data[20:])
+        assert p.tokens() == bpe.Prefixes(codec, data).tokens()
+        a = r.randrange(60)
+        b = r.randrange(a, 60)
+        new = bytes(r.choice(b"xyz th") for _ in range(r.randrange(9)))
+        p.replace(a, b, new)
+        assert p.tokens() == bpe.Prefixes(codec, data[:a] + new + data[b:]).tokens()
+    p.cut(5)
+    assert len(p.last) == 6
+
+
+def test_bpe_rows(odd, none, reference):
+    got = bpe.encode_documents(odd.withColumn("n_tokens", F.lit("clash")), RANKS, P.PATTERN)
+    assert got.count() == len(ODD) and got.columns[-3:] == ["n_tokens", "ids_sha256", "decoded_sha256"]
+    for r in got.collect():
+        ids = reference.encode_ordinary(r.text or "")
+        want = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest())
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == want
+    assert bpe.encode_documents(none, RANKS, P.PATTERN).count() == 0
+
+
+# -- 3 -------------------------------------------------------------------------
+
+
+def brute_repeats(rows):
+    first = {}
+    for i, t in rows:
+        b = (t or "").encode()
+        for p in range(len(b) - 49):
+            if i is not None:
+                first[b[p : p + 50]] = min(i, first.get(b[p : p + 50], i))
+    out = []
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - 49):
+            if i is not None and first[b[p : p + 50]] < i:
+                gone[p : p + 50] = b"\1" * 50
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        out.append((i if i is not None else -1, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+def repeat_rows(df, hot=suffixes.HOT):
+    return sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(df, hot).collect())
+
+
+@pytest.mark.parametrize("hot", [suffixes.HOT, 2])
+def test_suffix_dedup_is_brute_force(spark, hot):
+    r = random.Random(5)
+    bits = ["".join(r.choice("abc ") for _ in range(r.randint(30, 120))) for _ in range(12)]
+    rows = [(i, "".join(r.choice(bits) for _ in range(r.randint(0, 6))) + "".join(r.choice("abcdé ") for _ in range(r.randint(0, 60)))) for i in range(60)]
+    rows += [(90, rows[3][1]), (91, rows[3][1]), (91, rows[3][1]), (92, "ab" * 400), (93, "ab" * 40), (5, "same id " + bits[0] + bits[1])]
+    assert repeat_rows(docs(spark, rows), hot) == brute_repeats(rows)
+
+
+def test_suffix_dedup_of_odd_rows(odd, none):
+    assert repeat_rows(odd) == brute_repeats(ODD)
+    assert suffixes.remove_repeats(none).count() == 0
+
+
+def test_suffix_order_and_collisions(monkeypatch):
+    r = np.random.default_rng(6)
+    rows = r.integers(97, 99, (300, 12)).astype(np.uint8)
+    lengths = r.integers(0, 13, 300)
+    group = np.sort(r.integers(0, 9, 300))
+    want = sorted(range(300), key=lambda i: (group[i], bytes(rows[i, : lengths[i]])))
+    texts = [(group[i], bytes(rows[i, : lengths[i]])) for i in want]
+    s = suffixes.Suffixes(rows, lengths)
+    order, lcp = s.array(group)
+    assert [(group[i], bytes(rows[i, : lengths[i]])) for i in order] == texts
+    s = suffixes.Suffixes(rows, lengths)
+    s.prefix[:] = 0  # every hash collides
+    order, again = s.array(group)
+    assert [(group[i], bytes(rows[i, : lengths[i]])) for i in order] == texts and (again == lcp).all()
+
+
+def test_long_texts_are_cut_into_overlapping_parts(monkeypatch):
+    data = bytes(random.Random(7).choice(b"abcd") for _ in range(5000))
+    want = suffixes.anchors(np.frombuffer(data, np.uint8), np.array([0]), np.array([5000]))[0]
+    monkeypatch.setattr(suffixes, "CHUNK", 700)
+    got = set()
+    for _, buf, starts, ends, off in suffixes.chunks([data]):
+        got |= set((suffixes.anchors(buf, starts, ends)[0] + off).tolist())
+    assert got == set(want.tolist())
+
+
+# -- 4 -------------------------------------------------------------------------
+
+
+def test_toxicity_held_out(spark):
+    base = "/root/testdata/sf0.01"
+    got = queries.op4_toxicity(spark, base)
+    truth = spark.read.parquet(f"{base}/labels.parquet").select("doc_id", "toxic")
+    rows = got.join(truth, "doc_id").where("held_out").collect()
+    hit = [r for r in rows if r.toxic == 1 and r.predicted == 1]
+    assert len(hit) >= 0.5 * sum(r.toxic for r in rows) and not [r for r in rows if r.toxic == 0 and r.predicted == 1]
+    assert got.count() == 1000
+    for r in got.limit(50).collect():
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1
+
+
+def test_toxicity_grammar_reads_clauses():
+    g = toxicity.Grammar({"idiot": 1.0}, {"stupi": 0.8})
+    plain, negated, told, aimed = (g.features(t)[0] for t in ("an idiot here", "he is not an idiot", "someone said idiot", "you are an idiot"))
+    assert aimed > plain > told > negated > 0
+    assert g.features("stupidest thing")[0] > 0 and g.features(None) == g.features("") == [0.0] * 5
+    assert g.features("we will kill him")[0] > g.features("kill the lights")[0]
+
+
+def test_toxicity_odd_rows(spark, odd, none):
+    labels = spark.createDataFrame([(i, 1, int(i % 2)) for i in range(12)] + [(None, 1, 1), (3, 0, None)], "doc_id long, quality int, toxic int")
+    for train in (labels, labels.where("false")):
+        model = toxicity.fit(odd, train)
+        got = toxicity.score_documents(odd, model)
+        assert got.count() == len(ODD) and got.where("score between 0 and 1").count() == len(ODD)
+        assert toxicity.score_documents(none, model).count() == 0
+
+
+# -- 5 -------------------------------------------------------------------------
+
+
+def brute_fingerprint(text, k):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    grams = [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)] or ([" ".join(words)] if words else [])
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+
+
+def brute_simhash(rows, k):
+    fps = [brute_fingerprint(t, k) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= 3:
+                root[find(a)] = find(b)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return sorted((d if d is not None else -1, f"{fps[i]:016x}", least.get(find(i), -1)) for i, (d, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("run", [1024, 4])
+def test_simhash_is_brute_force(spark, small, run, monkeypatch):
+    monkeypatch.setattr(simhash, "RUN", run)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()] + [x for x in ODD if x[0] is not None]
+    rows = [(i, t[:300] if t else t) for i, t in rows]
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(300)]
+    for i in range(40):
+        words = list(base)
+        words[r.randrange(300)] = f"x{i}"
+        rows.append((1000 + i, " ".join(words)))
+    got = simhash.simhash_components(docs(spark, rows), 3).select("doc_id", simhash.to_hex().alias("x"), "component_id")
+    assert sorted(tuple(x) for x in got.collect()) == brute_simhash(rows, 3)
+
+
+def test_simhash_odd_rows(odd, none):
+    got = simhash.simhash_components(odd, 3).collect()
+    assert len(got) == len(ODD) and {r.component_id for r in got if r.doc_id in (1, 2, 3)} == {1}
+    assert simhash.simhash_components(none, 3).count() == 0
+
+
+def test_near_copies_go(spark, none):
+    r = random.Random(9)
+    words = [f"word{i}" for i in range(500)]
+    text = " ".join(r.choice(words) for _ in range(300))
+    other = " ".join(r.choice(words) for _ in range(300))
+    near = text.replace(text.split()[100], "changed", 1)
+    rows = [(5, text), (6, text), (7, near), (8, other), (9, None), (10, ""), (10, ""), (4, near), (None, text + " more and more words here"), (8, other)]
+    got = neardup.drop_near_copies(docs(spark, rows))
+    assert got.columns == [c.split()[0] for c in DOCS.split(", ")]
+    assert sorted(x.doc_id or -1 for x in got.collect()) == [-1, 4, 8, 9]
+    assert neardup.drop_near_copies(none).count() == 0
+
+
+# -- 6 -------------------------------------------------------------------------
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute_base(text):
+    out = []
+    for k, (kind, p) in enumerate(PATTERNS.items()):
+        for m in re.finditer(p, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            luhn = sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(d[::-1])) % 10 == 0
+            if {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 12 <= len(d) <= 19 and luhn, "phone": 9 <= len(d) <= 15}[kind]:
+                out.append((m.start(), k, m.end(), kind))
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(out))
+
+
+TRICKY = [
+    "a@b.c@d.e a@b.c_d@e.f.g", "1.2.3.4.5 001.002.003.255 256.1.1.1", "4111 1111 1111 1111  4111-1111-1111-1111- 41111111111111112345", "+1 (017) 555-7713) +12 +123456789 -",
+    "é😀 a@b.co 4111111111111111 x", "x+1234567890 12@ @ @a.b", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1  +1+2 3456789012", "..a@..b a@b..c a@b.c. -@-.-",
+]
+
+
+def test_pii_rules_are_brute_force(spark, small):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()] + [(1000 + i, t) for i, t in enumerate(TRICKY)] + [x for x in ODD if x[0]]
+    r = random.Random(10)
+    rows += [(2000 + i, "".join(r.choice("0123459..--  +@ab()") for _ in range(120))) for i in range(150)]
+    got = pii.find_pii(docs(spark, rows)).select("doc_id", "text", pii.joined("base").alias("b"), pii.joined("spans").alias("s")).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        assert x.b == brute_base(x.text), x.text[:100]
+        assert set(filter(None, x.b.split(","))) <= set(x.s.split(","))
+
+
+def test_pii_method_adds_spans_and_redacts(spark, none):
+    texts = ['the token = "4f0b3a6d9c1e8275aa0b3a6d9c1e8275aa0b3a6d" here', "write to jo.doe [at] example [dot] com now", "order 1234567812345678 of 2024-01-02", "mail a.b@example.com or +1 (212) 555-0100"]
+    got = pii.find_pii(docs(spark, list(enumerate(texts)))).select("doc_id", pii.joined("spans").alias("s"), pii.redact(F.col("text"), "spans").alias("t")).orderBy("doc_id").collect()
+    assert got[0].s.startswith("secret:") and "[SECRET]" in got[0].t
+    assert got[1].s.startswith("email:") and got[2].s == "" and got[2].t == texts[2]
+    assert got[3].t == "mail [EMAIL] or [PHONE]"
+    assert pii.find_pii(none).count() == 0
+
+
+# -- 7 -------------------------------------------------------------------------
+
+
+def test_hilbert_neighbours_touch():
+    side = np.arange(8)
+    cells = np.array([(a, b, c) for a in side for b in side for c in side])
+    keys = ann.hilbert(cells, 3)
+    assert sorted(keys) == list(range(512))
+    walk = cells[np.argsort(keys)]
+    assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
+
+
+def test_nearest_recall_scores_and_ties(spark):
+    base = "/root/testdata/sf0.01/embeddings.parquet"
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(base).collect()]
+    rows += [(1000 + i, rows[0][1]) for i in range(60)] + [(2000, None), (2001, []), (2002, [0.0] * 64), (2003, [float("nan")] * 64), (2004, [None] * 64), (2005, [1.0]), (None, rows[1][1]), (3, rows[3][1])]
+    df = spark.createDataFrame([(a, b, 1) for a, b in rows], "vec_id long, embedding array<float>, label int")
+    got = ann.nearest(df).collect()
+    good = {a: np.array(b, float) for a, b in rows if a is not None and a not in range(2000, 2006)}
+    ids, x = np.array(sorted(good)), np.array([good[a] for a in sorted(good)])
+    hits = total = 0
+    for q in [a for a in good if a % 20 == 0]:
+        s = x @ good[q]
+        s[ids == q] = -np.inf
+        want = ids[np.lexsort((ids, -s))[:20]]
+        mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [m[0] for m in mine] == list(range(1, 21))
+        assert [m[1] for m in mine] == [v for _, v in sorted((-round(m[2], 12), m[1]) for m in mine)]
+        assert all(abs(m[2] - float(good[m[1]] @ good[q])) < 1e-9 for m in mine)
+        hits += len(set(want) & {m[1] for m in mine})
+        total += 20
+    assert hits / total >= 0.9
+    few = ann.nearest(df.where("vec_id in (0, 1, 2)")).collect()
+    assert [(r.query_id, r.rank) for r in few] == [(0, 1), (0, 2)]
+    assert ann.nearest(df.where("false")).count() == 0
+
+
+# -- 8 -------------------------------------------------------------------------
+
+
+def brute_leaks(rows, items):
+    from collections import Counter
+
+    split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    out = set()
+    for i, item in items:
+        w = split(item)
+        if not w or i is None:
+            continue
+        k = min(5, len(w))
+        grams = lambda ws: [tuple(ws[j : j + k]) for j in range(len(ws) - k + 1)]
+        a = Counter(grams(w))
+        m = sum(a.values())
+        for d, t in rows:
+            g = grams(split(t))
+            best = 0
+            for s in range(1 - m, len(g)) if set(g) & set(a) else ():
+                b = Counter(g[max(0, s) : s + m])
+                both = sum((a & b).values())
+                best = max(best, both / (m + sum(b.values()) - both))
+            if best >= 0.8 and d is not None:
+                out.add((d, i))
+    return out
+
+
+def test_leaks_are_brute_force(spark, small):
+    r = random.Random(11)
+    items = [(x.item_id, x.text) for x in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    rows = [(x.doc_id, x.text) for x in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    for i in range(60):
+        words = r.choice(items)[1].split()
+        for _ in range(r.randrange(3)):
+            words[r.randrange(len(words))] = "changed"
+        if r.random() < 0.3:
+            words = [w.upper() + "!" for w in words]
+        rows.append((1000 + i, "before it " * r.randrange(4) + " ".join(words[r.randrange(3) :]) + " after" * r.randrange(3)))
+    items += [(900, "two words"), (901, ""), (902, None), (None, "nothing at all")]
+    rows += [(5000, "here are two words only"), *[x for x in ODD if x[0] and x[0] != 8]]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(docs(spark, rows), bench).collect()}
+    assert got == brute_leaks(rows, items) and len(got) > 20
+
+
+def test_leaks_of_nothing(spark, odd, none):
+    bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    assert decontaminate.leaks(none, bench).count() == 0
+    assert decontaminate.leaks(odd, bench.where("false")).count() == 0
+
+
+# -- 9 -------------------------------------------------------------------------
+
+URLS = [
+    (1, "https://A.Example.ORG/es/x"), (2, "http://example.org/en/17"), (3, "http://badexample.org/es/"), (4, "https://x.com/fr/a?u=http://y.com/de/"), (5, "https://x.com/de/#a"),
+    (6, None), (7, ""), (8, "no scheme"), (9, "http://example.org"), (10, "http://EXAMPLE.org?x://y"), (11, "http://org/"), (11, "http://org/"), (12, "://.org/a"), (13, "http://com./fr/"), (14, "http://" + "a." * 3000 + "com/de/x"),
+]
+
+
+def brute_url(u):
+    rest = u.split("://", 1)[1] if u and "://" in u else ""
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+    fits = [(len(h + p), h + p, v) for h, p, v in queries.URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fits, default=(0, None, "allow"))
+    return host, path, best[1], best[2]
+
+
+def test_url_rules(spark):
+    df = spark.createDataFrame([(i, u, "clash") for i, u in URLS], "page_id long, url string, verdict string")
+    got = urls.judge_urls(df, queries.URL_RULES, keep=("page_id",)).collect()
+    assert [(r.page_id, r.host, r.path, r.rule, r.verdict) for r in got] == [(i, *brute_url(u)) for i, u in URLS]
+    rules = spark.createDataFrame(list(queries.URL_RULES), "host string, path string, verdict string")
+    one = df.dropDuplicates(["page_id"])
+    joined = {r.page_id: (r.rule, r.verdict) for r in urls.judge_by_join(one, rules, "page_id").collect()}
+    assert joined == {i: brute_url(u)[2:] for i, u in URLS}
+    assert urls.judge_urls(df.where("false"), queries.URL_RULES).count() == 0
+    assert {r.rule for r in urls.judge_urls(df, ()).collect()} == {None}
+
+
+def test_a_collision_never_decides(monkeypatch):
+    monkeypatch.setattr(urls, "digest", lambda key: 7)
+    a = urls.DigestArray(urls.DigestArray.build([("a", "/", "block"), ("b", "/", "allow")]))
+    assert a.lookup(["a\0/", "b\0/", "c\0/"]) == ["block", "allow", None]
+
+
+# -- 10 ------------------------------------------------------------------------
+
+
+def test_preferences(spark):
+    rows = [
+        (0, 0, "user", "hi"), (0, 1, "assistant", "hello"), (0, 2, "user", "more"), (1, 0, "user", "hi"), (1, 1, "assistant", "go away"),
+        (2, 0, "user", "same"), (3, 0, "user", "same"), (4, 0, None, None), (6, None, "user", "x"), (6, None, "user", "x"), (7, 0, "user", "x"), (None, 0, "user", "lost"),
+    ]
+    df = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, prompt string")
+    got = {r.pair_id: r for r in chat.format_preferences(chat.pair_neighbours(df)).collect()}
+    assert set(got) == {0, 1, 2, 3}
+    assert got[0].n_prompt_turns == 1 and got[0].prompt == "<|im_start|>user\nhi<|im_end|>\n"
+    assert got[0].chosen.startswith("<|im_start|>assistant\nhello<|im_end|>")
+    a, b = map(int, got[0].chosen_mask.split(":"))
+    assert got[0].chosen[a:b] == "hello<|im_end|>\n" and got[0].rejected_mask
+    assert got[1].chosen == got[1].rejected == "" and got[1].n_prompt_turns == 1
+    assert got[2].rejected is None and got[2].rejected_conv is None and got[2].chosen == "<|im_start|>user\n<|im_end|>\n"
+    assert got[3].n_prompt_turns == 1 and got[3].chosen != "" and got[3].rejected == ""
+    assert chat.format_preferences(chat.pair_neighbours(df.where("false"))).count() == 0
+
+
+# -- 1 -------------------------------------------------------------------------
+
+
+def test_licences(spark, odd, none):
+    texts = [
+        "some words\nThis work is licensed under the GNU General Public License, version 3.", "x\nReleased under the MIT License.\n\nLicensed under CC BY-NC 4.0.", "Licensed under the Apache License, Version 2.0.",
+        "You need a driving license to rent a car.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "nothing", "his license plate and copyright law", "Copyright 2020. All rights reserved.",
+    ]
+    got = [r.families for r in licenses.scan_documents(docs(spark, list(enumerate(texts)))).orderBy("doc_id").collect()]
+    assert got == ["gpl", "cc-by-nc,mit", "apache", "", "mit", "", "", "proprietary"]
+    rows = licenses.scan_documents(odd).collect()
+    assert len(rows) == len(ODD) and not any(r.families for r in rows)
+    assert licenses.scan_documents(none).count() == 0
+
+
+def test_native_plans_run_no_python(spark, small):
+    for name in ("op1_licenses", "op6_pii", "op8_decontamination"):
+        plan = queries.QUERIES[name](spark, small)._jdf.queryExecution().toString()
+        assert not re.search("Python|Pandas|Arrow", plan), name
+
+
+def test_queries_return_what_their_contracts_name(spark, small):
+    want = {
+        "op2_byte_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+        "op3_suffix_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+        "op4_toxicity": ["doc_id", "held_out", "score", "predicted"],
+        "op5_simhash": ["doc_id", "fingerprint", "component_id"],
+        "op6_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
+        "op7_nearest": ["query_id", "rank", "vec_id", "score"],
+        "op9_url_filter": ["page_id", "host", "path", "rule", "verdict"],
+    }
+    for name, columns in want.items():
+        assert queries.QUERIES[name](spark, small).columns == columns
+    assert json.dumps(sorted(queries.QUERIES))
