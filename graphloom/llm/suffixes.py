@@ -111,6 +111,10 @@ def _emit_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, buf, starts, ends, _ in chunks(_bytes(b.column(1))):
             _, h, doc = anchors(buf, starts, ends)
             if len(h):
+                o = np.lexsort((h, doc))  # repetition inside a document says nothing here
+                h, doc = h[o], doc[o]
+                once = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]
+                h, doc = h[once], doc[once]
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(tid[row + doc])], names=["h", "tid"])
 
 
