@@ -37,6 +37,7 @@ HOT = 150_000
 CHUNK = 1 << 20
 PLACE = np.uint64((1 << 24) - 1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
+SPREAD = BASE ** np.arange(1, 3 + BEFORE + AFTER, dtype=np.uint64)[: 2 + BEFORE + AFTER]
 
 
 def gram_hashes(buf: np.ndarray) -> np.ndarray:
@@ -166,9 +167,16 @@ def _emit_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             ctx[:, 0], ctx[:, 1] = left, right
             inside = (span >= -left[:, None]) & (span < right[:, None])
             ctx[:, 2:] = np.where(inside, buf[np.clip(at[:, None] + span, 0, len(buf) - 1)], 0)
+            # equal contexts of a document are one row with all their places
+            o = np.lexsort((ctx.astype(np.uint64) @ SPREAD, h, doc))
+            ctx, h, doc, at = ctx[o], h[o], doc[o], at[o]
+            new = np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1]).any(axis=1)] if n else np.zeros(0, bool)
+            head = np.flatnonzero(new)
+            places = pa.ListArray.from_arrays(pa.array(np.r_[head, n], pa.int32()), pa.array(at - starts[doc] + off))
+            ctx, h, doc, n = ctx[head], h[head], doc[head], len(head)
             data = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * ctx.shape[1], ctx.shape[1], dtype=np.int32)), pa.py_buffer(ctx.tobytes())])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), data, pa.array(ids[row + doc]), pa.array(tid[row + doc]), pa.array(at - starts[doc] + off)],
+                [pa.array(h.view(np.int64)), data, pa.array(ids[row + doc]), pa.array(tid[row + doc]), places],
                 names=["h", "ctx", "doc", "tid", "pos"],
             )
 
@@ -305,9 +313,10 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = _all_windows(ctx[:, 0].astype(np.int64), ctx[:, 1].astype(np.int64))
         mask = np.where(doc > doc[head][which], full, own[which])
         out = mask != 0
-        return pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(tid[out]), pa.array(pos[out]), pa.array(mask[out])], names=["doc", "tid", "pos", "mask"])
+        return pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(tid[out]), pos.filter(pa.array(out)), pa.array(mask[out])], names=["doc", "tid", "pos", "mask"])
 
     rest: list | None = None
+    held: pa.Array | None = None
     width = 2 + BEFORE + AFTER
     for b in batches:
         if not b.num_rows:
@@ -315,15 +324,17 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = b.column(1)
         flat = np.frombuffer(raw.buffers()[2], np.uint8)
         offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
-        cols = [b.column(0).to_numpy(zero_copy_only=False), flat[offsets[0] : offsets[-1]].reshape(-1, width), *[b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4)]]
+        cols = [b.column(0).to_numpy(zero_copy_only=False), flat[offsets[0] : offsets[-1]].reshape(-1, width), *[b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3)]]
+        places = b.column(4)
         if rest is not None:
             cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
+            places = pa.concat_arrays([held, places])
         cut = np.searchsorted(cols[0], cols[0][-1])  # the last gram may go on
-        rest = [c[cut:].copy() for c in cols]
+        rest, held = [c[cut:].copy() for c in cols], places.slice(cut)
         if cut:
-            yield done(*[c[:cut] for c in cols])
+            yield done(*[c[:cut] for c in cols], places.slice(0, cut))
     if rest is not None:
-        yield done(*rest)
+        yield done(*rest, held)
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,8 +342,11 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
         flat = b.column(2).flatten()
-        pos, mask = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(2))
-        stop = np.cumsum(pc.fill_null(pc.list_value_length(b.column(2)), 0).to_numpy(zero_copy_only=False))
+        places = pc.list_value_length(flat.field(0)).to_numpy(zero_copy_only=False).astype(np.int64)
+        pos = flat.field(0).flatten().to_numpy(zero_copy_only=False)
+        mask = np.repeat(flat.field(1).to_numpy(zero_copy_only=False), places)
+        marks = pc.fill_null(pc.list_value_length(b.column(2)), 0).to_numpy(zero_copy_only=False)
+        stop = np.r_[0, np.cumsum(places)][np.cumsum(marks)]
         start = np.r_[0, stop[:-1]]
         for i, (data, whole) in enumerate(zip(_bytes(b.column(1)), b.column(3).to_pylist(), strict=True)):
             spans = removed_spans(len(data), pos[start[i] : stop[i]], mask[start[i] : stop[i]], bool(whole))
@@ -409,16 +423,16 @@ def _remove_repeats(docs: DataFrame, hot: int) -> DataFrame:
         lists = mine.groupBy("tid").agg(F.collect_list("h").alias("hs"))
         lists = lists.join(least, "tid").select(F.col("first").alias("doc_id"), "tid", "hs")
         rows = known.join(lists, ["doc_id", "tid"]).select("doc_id", "tid", "text", "hs")
-        ctx = rows.mapInArrow(_emit_contexts, "h long, ctx binary, doc long, tid long, pos long")
+        ctx = rows.mapInArrow(_emit_contexts, "h long, ctx binary, doc long, tid long, pos array<long>")
         if is_hot:
             part = stage.cut(_judge_hot(stage.cut(ctx)))
         else:
-            part = stage.cut(ctx.repartition("h").sortWithinPartitions("h", "ctx", "doc").mapInArrow(_judge, "doc long, tid long, pos long, mask long"))
+            part = stage.cut(ctx.repartition("h").sortWithinPartitions("h", "ctx", "doc").mapInArrow(_judge, "doc long, tid long, pos array<long>, mask long"))
         marks = part if marks is None else marks.unionByName(part)
         del mine, lists, rows, ctx
         _free(spark)
     per_doc = marks.groupBy("doc", "tid").agg(F.collect_list(F.struct("pos", "mask")).alias("marks"), F.lit(False).alias("whole"))
-    whole = copies.select("doc", "tid", F.array().cast("array<struct<pos:bigint,mask:bigint>>").alias("marks"), F.lit(True).alias("whole"))
+    whole = copies.select("doc", "tid", F.array().cast("array<struct<pos:array<bigint>,mask:bigint>>").alias("marks"), F.lit(True).alias("whole"))
     notes = per_doc.unionByName(whole)
     out = docs.join(notes, (docs["doc_id"] == notes["doc"]) & (docs["tid"] == notes["tid"]), "left")
     done = out.select("doc_id", "text", "marks", "whole").mapInArrow(
