@@ -72,10 +72,11 @@ def find_dead(g, stage, entry: tuple[str, ...] = (), public: tuple[str, ...] = (
     swift_api = s.where("lang = 'swift' and exported").select("id")
     modules = s.where("kind = 'module'").select("id", "file")
     imported = g.edges.where("kind = 'imports'").select(F.col("dst").alias("id")).distinct()
+    pages = modules.where("file rlike '[.](mdx?|vue|svelte|astro|html)$'").select("id")
     acting = modules.join(imported, "id", "left_anti").join(f.where("tab = 'side_effects'").select("file").distinct(), "file", "left_semi")
     kept = rule_roots(s, f, rules).select("id")
     roots = at_start.unionByName(shown).unionByName(mains).unionByName(api).unionByName(tests).unionByName(swift_api).unionByName(kept)
-    roots = roots.unionByName(modules.join(script, "file", "left_semi").select("id"))
+    roots = roots.unionByName(pages).unionByName(modules.join(script, "file", "left_semi").select("id"))
     started = s.join(f.where("tab = 'script' and lang = 'swift'").select("file").distinct(), "file", "left_semi").where("kind = 'class'").select("id")
     roots = roots.unionByName(started).unionByName(s.join(acting.select("file"), "file", "left_semi").select("id"))
     watched = None

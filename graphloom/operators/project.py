@@ -42,8 +42,9 @@ def findings_of(g: code.Graph, stage: Stage, config: stores.Config, coverage: Da
         F.lit("").alias("file"), F.lit(0).alias("line"), F.col("n").cast("int").alias("loc"), "score",
     )
     todo = settings.stubs(g).select(F.concat_ws(":", F.lit("unfinished"), "file", "name").alias("id"), F.lit("unfinished").alias("kind"), F.concat("name", F.lit(" is not implemented")).alias("title"), "file", "line", F.lit(1).alias("loc"), "score")
+    never = settings.unset_state(g).select(F.concat_ws(":", F.lit("unfinished"), "file", "name").alias("id"), F.lit("unfinished").alias("kind"), F.concat("name", F.lit(" is never set")).alias("title"), "file", "line", F.lit(1).alias("loc"), "score")
     out = own.select(*cols)
-    for part in (dup, con, dri, todo):
+    for part in (dup, con, dri, todo, never):
         out = out.unionByName(part.select(*cols))
     return stage.cut(out)
 

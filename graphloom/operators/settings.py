@@ -53,6 +53,11 @@ def dialect_drift(g, least: int = 4) -> DataFrame:
     return compare.drift(g.symbols.where("kind <> 'module'").select(F.explode(hits).alias("x")).select("x.*"), least)
 
 
+def unset_state(g) -> DataFrame:
+    """(file, line, name, score): state that conditions read and nothing ever sets."""
+    return g.facts.where("tab = 'unset'").select("file", "line", F.col("a").alias("name"), F.lit(0.85).alias("score"))
+
+
 def stubs(g) -> DataFrame:
     """(file, line, name, score): functions that only say they are not implemented."""
     f = g.facts.where("tab = 'stub'")

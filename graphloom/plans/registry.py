@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
-from graphloom.operators import compare, graph, similar, spans
+from graphloom.operators import compare, concepts, graph, similar, spans
 from graphloom.plans.staging import Stage
 from graphloom.sources import tables as S
 from graphloom.sources.tables import EDGES_SQL, FINDINGS_SQL, RANGES_SQL, SITES_SQL, SYMBOLS_SQL, key, table
@@ -614,3 +614,11 @@ def symbol_lookup(spark, sf):
     q = F.lit("THE AND")
     how = F.when((F.col("id") == q) | (F.col("name") == q), 0).when(F.lower("name") == F.lower(q), 1).when(F.contains(F.lower("name"), F.lower(q)), 2)
     return S.symbols(spark, sf).select("id", how.alias("how")).where("how is not null").orderBy("how", "id").limit(8)
+
+
+@query()
+def concept_labels(spark, sf):
+    """Concepts by synchronous label propagation over customers and their orders, seeded by nation."""
+    own = table(spark, sf, "customer").select(key("c", "c_custkey").alias("id"), F.col("c_custkey").alias("seq"), key("n", "c_nationkey").alias("dir"))
+    orders = table(spark, sf, "orders").select(key("o", "o_orderkey").alias("id"), (F.col("o_orderkey") + 1000000000).alias("seq"), F.col("o_orderpriority").alias("dir"))
+    return concepts.scale_labels(own.unionByName(orders), S.edges(spark, sf), Stage(spark))

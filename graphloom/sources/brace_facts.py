@@ -105,8 +105,42 @@ def _close(code: str, at: int) -> int:
     return len(code)
 
 
+SATELLITES = (".mdx", ".md", ".vue", ".svelte", ".astro", ".html")
+
+
+def scripts(text: str) -> str:
+    """Script bodies of a page or component, everything else blanked, lines kept."""
+    keep = [m.span(2) for m in re.finditer(r"(?is)<script([^>]*)>(.*?)</script\s*>", text) if not re.search(r"\bsrc\s*=|type\s*=\s*['\"](?!module|text/(?:java|type)script)", m[1])]
+    keep += [m.span(1) for m in re.finditer(r"(?m)^(import\s[^\n]*)", text)]
+    keep += [m.span(1) for m in re.finditer(r"(?s)\A---\n(.*?)\n---", text)]
+    out = [c if c == "\n" else " " for c in text]
+    for a, b in keep:
+        out[a:b] = text[a:b]
+    return "".join(out)
+
+
+def _unset(code: str) -> list[tuple[str, int]]:
+    """State that conditions read and nothing sets: ``let`` with a fixed or no value, private fields."""
+    fixed = r"(?:=\s*(?:null|undefined|true|false|-?[0-9.]+|'\s*'|\"\s*\"|`\s*`|\[\s*\]|\{\s*\})\s*)?;"
+    found = []
+    for pattern, prefix in ((rf"(?<![\w$(])let\s+([\w$]+)\s*(?::[^=;!]+)?{fixed}", ""), (rf"private\s+(?!readonly|static)([\w$]+)\s*(?::[^=;!]+)?{fixed}", r"this\.")):
+        for m in re.finditer(pattern, code):
+            name = re.escape(m[1])
+            if len(re.findall(rf"\b(?:let|const|var|function|private)\s+{name}\b", code)) != 1 or re.search(rf"for\s*\($", code[: m.start()].rstrip()[-12:]):
+                continue
+            rest = code[: m.start()] + " " * (m.end() - m.start()) + code[m.end() :]
+            use = rf"(?<![\w$.]){prefix}{name}\b" if not prefix else rf"{prefix}{name}\b"
+            written = re.search(rf"{use}\s*(?:=(?![=>])|\+\+|--|[-+*/%|&^]=|(?:\?\?|\|\||&&)=)|(?:\+\+|--)\s*{use}|[\[{{,]\s*{use}\s*[\]}},][^;\n]*=(?!=)", rest)
+            asked = re.search(rf"(?:if|while)\s*\([^)]*{use}|{use}\s*(?:\?(?![.?:])|&&|\|\|)|!\s*{use}|(?:&&|\|\|)\s*{use}", rest)
+            if asked and not written:
+                found.append((m[1], m.start()))
+    return found
+
+
 def facts(path: str, text: str) -> list[tuple]:
     """(table, file, line, a, b, c, d) facts of one file."""
+    if path.endswith(SATELLITES):
+        return [(f[0], path, *f[2:]) for f in facts(f"{path}.ts", scripts(text)) if f[0] in ("import", "ref", "string", "unset")]
     lang = LANGUAGES["." + path.rsplit(".", 1)[-1]]
     if lang == "swift":
         text = re.sub(r"(?m)^[ \t]*#(?:if|elseif|else|endif)[^\n]*", lambda m: " " * len(m[0]), text)
@@ -219,6 +253,9 @@ def facts(path: str, text: str) -> list[tuple]:
             add("string", o, s)
             if code[:o].rstrip().endswith("["):
                 add("ref", o, s, "?", "attr", enclosing(o))
+    if lang == "ts":
+        for name, at in _unset(code):
+            add("unset", at, name)
     for m in re.finditer(r"process\.env\.(\w+)\s*(?:\|\||\?\?)\s*", code):
         value = text[m.end() :].split("\n", 1)[0]
         lit = re.match(r"""['"`]([^'"`]*)['"`]|(\d+)""", value)

@@ -13,7 +13,7 @@ from graphloom.functions.text import glob_regex
 
 FACT = "tab string, file string, line int, a string, b string, c string, d string, seq long"
 SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", "/index.ts", "/index.tsx", "/index.js", ".py", "/__init__.py")
-INCLUDE = ("**/*.{ts,tsx,js,jsx,mjs,cjs,py,go,swift}",)
+INCLUDE = ("**/*.{ts,tsx,js,jsx,mjs,cjs,py,go,swift,mdx,vue,svelte,astro,html}",)
 EXCLUDE = ("**/node_modules/**", "**/dist/**", "**/build/**", "**/vendor/**", "**/__pycache__/**", "**/.*/**", ".*/**", "**/*.d.ts")
 
 

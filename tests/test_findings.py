@@ -64,3 +64,27 @@ def test_concepts_partition_all_symbols(spark):
     named = concepts.describe(exact, s, e).collect()
     assert sum(r.symbols for r in named) == 10 and {r.name for r in named} <= {"a", "b"}
     assert sorted(map(tuple, exact.collect())) == sorted(map(tuple, concepts.concept_labels(s, e).collect()))
+
+
+def test_unset_state_and_pages(spark):
+    files = {
+        "src/view.ts": "let collapsed = false;\nlet seen = 0;\nlet name;\nexport function draw() {\n  seen += 1;\n  if (collapsed) { return seen; }\n  name = 'x';\n  return name ? 1 : 2;\n}\nclass Box {\n  private filterText = '';\n  private count = 0;\n  show() { this.count++; if (this.filterText) { return 1; } return this.count > 0 ? 1 : 2; }\n}\n",
+        "page.html": "<html>\n<script src='x.js'></script>\n<script>\nlet searchQuery = '';\nif (searchQuery) { run(); }\n</script>\n<script type='application/json'>{}</script>\n",
+        "docs/a.mdx": "import { draw } from '../src/view';\n\n# Title\n",
+    }
+    g, stage = graph_of(spark, files)
+    assert {(r.file, r.line, r.name) for r in settings.unset_state(g).collect()} == {("src/view.ts", 1, "collapsed"), ("src/view.ts", 11, "filterText"), ("page.html", 4, "searchQuery")}
+    from graphloom.operators.dead import find_dead
+
+    assert "draw" not in {r.name for r in find_dead(g, stage).collect()}
+
+
+def test_treemap():
+    from graphloom.operators.treemap import squarify
+
+    values = [6, 6, 4, 3, 2, 2, 1, 0]
+    boxes = squarify(values, 0, 0, 6, 4)
+    for v, (_, _, w, h) in zip(values, boxes, strict=True):
+        assert abs(w * h - v) < 1e-9
+    assert max(max(w / h, h / w) for _, _, w, h in boxes[:-1]) < 3
+    assert squarify([0, 0], 0, 0, 1, 1) == [(0, 0, 0.0, 0.0)] * 2 and squarify([], 0, 0, 1, 1) == []
