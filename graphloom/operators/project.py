@@ -25,11 +25,11 @@ class Scan:
     stats: dict
 
 
-def findings_of(g: code.Graph, stage: Stage, config: stores.Config, coverage: DataFrame | None = None) -> DataFrame:
+def findings_of(g: code.Graph, stage: Stage, config: stores.Config, coverage: DataFrame | None = None, data: DataFrame | None = None) -> DataFrame:
     """(id, kind, title, file, line, loc, score) of all analyses."""
     rules = (*dead.RULES, *(dead.Rule(r["name"], tuple(r.get("decorators", ())), tuple(r.get("names", ())), tuple(r.get("files", ()))) for r in config.rules))
     cols = ("id", "kind", "title", "file", "line", "loc", "score")
-    gone = stage.cut(dead.find_dead(g, stage, config.entry, config.public, coverage, rules=rules))
+    gone = stage.cut(dead.find_dead(g, stage, config.entry, config.public, coverage, data, rules))
     own = gone.select(F.concat(F.lit("dead:"), "id").alias("id"), F.lit("dead").alias("kind"), F.concat("name", F.lit(" is not reachable")).alias("title"), "file", "line", "loc", "score")
     dup = dupes.find_duplicates(g, stage, config.threshold, config.min_loc).join(g.symbols.select(F.col("id").alias("root"), "file", "line"), "root")
     dup = dup.select(F.concat(F.lit("duplicate:"), "root").alias("id"), F.lit("duplicate").alias("kind"), F.concat(F.col("members").cast("string"), F.lit(" versions of one thing")).alias("title"), "file", "line", F.col("removable").cast("int").alias("loc"), "score")
@@ -54,7 +54,8 @@ def scan(spark: SparkSession, root: str, coverage: tuple[str, ...] = ()) -> Scan
     stage, config = Stage(spark), stores.load_config(root)
     files = stage.cut(code.scan(spark, root, config.include, (*code.EXCLUDE, *config.exclude)))
     g = code.build(files, stage)
-    found = findings_of(g, stage, config, read_coverage(spark, root, coverage) if coverage else None)
+    data = stage.cut(code.data_names(code.scan(spark, root, code.DATA, (*code.EXCLUDE, *config.exclude))))
+    found = findings_of(g, stage, config, read_coverage(spark, root, coverage) if coverage else None, data)
     given = stage.cut(ignores.directives(files))
     left, given = ignores.apply(found, given)
     hidden = sorted(stores.dismissed(root))  # a project's own list

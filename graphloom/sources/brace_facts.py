@@ -71,7 +71,7 @@ def blank(text: str, lang: str) -> tuple[str, list[tuple[int, str]]]:
                 j = min(j + 1, n)
                 body = text[i:j]
                 keep = {i + k for m in re.finditer(r"\$\{([^{}]*)\}", body) for k in range(m.start(1), m.end(1))}
-                for k in range(i, j):
+                for k in range(i + 1, j):
                     if k not in keep and text[k] != "\n":
                         out[k] = " "
                 i = j

@@ -100,9 +100,17 @@ def build(files: DataFrame, stage) -> Graph:
     found = tried.join(known, "path").groupBy("file", "lang", "seq", "alias", "spec", "what", "owner").agg(F.min_by("to", "rank").alias("to"))
     go = imports.where("lang = 'go'").join(names.where("lang = 'go'").select("dir", F.col("file").alias("to")).distinct(), F.expr("endswith(spec, dir) and dir <> ''")).select("file", "lang", "seq", "alias", "spec", "what", "owner", "to")
     found = stage.cut(found.where("lang <> 'go'").unionByName(go))
+    # a computed path reaches every file that its fixed beginning starts, and what these export
+    start = F.regexp_extract("to_path", r"^([^$]*)", 1)
+    computed = imports.where("what = 'computed'").select("file", "owner", target.alias("to_path")).withColumn("start", start).where("start like '%/%'")
+    computed = computed.join(known.select("to"), F.expr("startswith(to, start)")).select(sid(F.col("file"), F.col("owner")).alias("src"), "to")
     edge = lambda df, src, dst, kind: df.select(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("kind"))
     edges = edge(found, sid(F.col("file"), F.col("owner")), sid(F.col("to"), F.lit("")), "imports")
 
+    edges = edges.unionByName(edge(computed, F.col("src"), sid(F.col("to"), F.lit("")), "imports"))
+    shown_there = symbols.where("exported and container = ''").select(F.col("file").alias("to"), "id")
+    edges = edges.unionByName(edge(computed.join(shown_there, "to"), F.col("src"), F.col("id"), "references"))
+
     refs = of("ref").select("file", "lang", F.col("a").alias("name"), F.col("b").alias("base"), sid(F.col("file"), F.col("d")).alias("src"), F.col("c").alias("form"), F.col("d").alias("owner")).distinct()
     top = names.where("container = ''")
     own = refs.where("base = ''").join(top.select("file", "name", "id"), ["file", "name"])
@@ -141,3 +149,19 @@ def build(files: DataFrame, stage) -> Graph:
     edges = edges.unionByName(below.join(inits, "dir").select("src", "dst", F.lit("imports").alias("kind")))
     edges = stage.cut(edges.where("src <> dst"))
     return Graph(symbols, edges, f)
+
+
+DATA = ("**/*.{json,yml,yaml,toml,ini,cfg,xml,plist,properties}",)
+LOCKS = ("**/{package-lock,composer.lock,pnpm-lock,yarn.lock}*", "**/tsconfig*.json")
+MAX_DATA_BYTES = 256 << 10
+
+
+def data_names(files: DataFrame) -> DataFrame:
+    """(name, file): names in data files that code may be called by; the first file of a name.
+
+    ``files``: (file, content). A name has four characters or more and a capital
+    or underscore after the first.
+    """
+    small = files.where((F.octet_length("content") <= MAX_DATA_BYTES) & F.col("file").rlike("|".join(map(glob_regex, DATA))) & ~F.col("file").rlike("|".join(map(glob_regex, LOCKS))))
+    names = small.select("file", F.explode(F.regexp_extract_all("content", F.lit(r"[A-Za-z_][A-Za-z0-9_]{3,}"), F.lit(0))).alias("name"))
+    return names.where(F.substring("name", F.lit(2), F.length("name")).rlike("[A-Z_]")).groupBy("name").agg(F.min("file").alias("file"))

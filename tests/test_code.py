@@ -93,3 +93,16 @@ def test_python_facts_never_fail(text):
 def test_brace_facts_never_fail(text):
     for name in ("a.ts", "a.go", "a.swift"):
         assert isinstance(brace_facts.facts(name, text), list)
+
+
+def test_computed_imports_and_names_in_data(spark):
+    files = {
+        "src/index.ts": "export async function load(x: string) { return import(`./locale/${x}`); }\nload('de');\n",
+        "src/locale/de.ts": "export const hello = () => 'hallo';\nconst hidden = () => 1;\n",
+        "src/jobs.ts": "export class NightlyJob {\n  run() { return 1; }\n}\n",
+    }
+    g, stage = graph_of(spark, files)
+    data = code.data_names(spark.createDataFrame([("b.yml", "job: NightlyJob"), ("a.yml", "x: NightlyJob plain"), ("package-lock.json", "OtherName")], "file string, content string"))
+    assert [tuple(r) for r in data.collect()] == [("NightlyJob", "a.yml")]
+    got = {r.name: r.score for r in find_dead(g, stage, data_names=data).collect()}
+    assert set(got) == {"hidden", "NightlyJob", "run"} and got["NightlyJob"] <= 0.45 < got["hidden"]
