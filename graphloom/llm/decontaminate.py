@@ -35,13 +35,18 @@ def shingles_of(words: str, k: int) -> Column:
 
 
 def simhash_of(hashes: Column) -> Column:
-    """Bit set if set in over half of the hashes."""
+    """Bit set if set in over half of the hashes.
+
+    Never null: else a null check of it would be pushed below the projection that
+    makes ``hashes``, and each of its 64 steps would make them again.
+    """
     ones = lambda b: F.aggregate(hashes, F.lit(0), lambda s, h: s + F.getbit(h, b).cast("int"))
-    return F.aggregate(
+    bits = F.aggregate(
         F.sequence(F.lit(0), F.lit(63)),
         F.lit(0).cast("bigint"),
         lambda acc, b: F.when(ones(b) * 2 > F.size(hashes), acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), b))).otherwise(acc),
     )
+    return F.coalesce(bits, F.lit(0).cast("bigint"))
 
 
 def _blocks(fp: str, radius: int) -> Column:
@@ -135,7 +140,9 @@ def leaks(
         close = (
             left.join(spread(right), ["item_id", "block", "value"])
             .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius)
-            .dropDuplicates(["key", "item_id", "start", "win", "ih"])
+            # once for all blocks that agree; as aggregates the arrays keep the costly test above the join
+            .groupBy("key", "item_id", "start", "k", F.xxhash64("win").alias("wk"), F.xxhash64("ih").alias("ik"))
+            .agg(F.first("win").alias("win"), F.first("ih").alias("ih"))
             .withColumn("similarity", weighted_similarity(F.col("win"), F.col("ih")))
             .where(F.col("similarity") >= similarity)
         )
