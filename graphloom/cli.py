@@ -22,6 +22,7 @@ def main(args: list[str] | None = None, spark=None) -> int:
     a = p.parse_args(args)
     from graphloom.operators import graph, project
     from graphloom.plans.ship import ship
+    from graphloom.plans.staging import Stage
     from graphloom.sources import stores
 
     if a.verb == "dismiss":
@@ -58,7 +59,7 @@ def main(args: list[str] | None = None, spark=None) -> int:
         rows = []
         for h in hit[:1]:
             if a.verb == "blast":
-                rows = [r.asDict() for r in graph.blast_radius(s.graph.edges, h.id, 2).orderBy("hop", "id").limit(a.limit).collect()]
+                rows = [r.asDict() for r in graph.blast_radius(s.graph.edges, h.id, Stage(spark), 2).orderBy("hop", "id").limit(a.limit).collect()]
             else:
                 callers = [r.src for r in s.graph.edges.where(F.col("dst") == h.id).select("src").distinct().orderBy("src").limit(a.limit).collect()]
                 rows = [{**h.asDict(), "callers": callers, "intent": stores.intents(a.root).get(h.id)}]

@@ -14,7 +14,7 @@ def reachable(edges: DataFrame, roots: DataFrame, stage: Stage, limit: int = 10_
     Each round joins only the last frontier with the edges, so the work of all
     rounds together is one pass over the edges of what is reached.
     """
-    links = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    links = stage.cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     frontier = stage.cut(roots.select("id").where("id is not null").distinct())
     seen = frontier
     for _ in range(limit):
@@ -31,15 +31,15 @@ def unreached(symbols: DataFrame, edges: DataFrame, roots: DataFrame, stage: Sta
     return symbols.join(reachable(edges, roots, stage), "id", "left_anti")
 
 
-def blast_radius(edges: DataFrame, target: str, depth: int = 2) -> DataFrame:
+def blast_radius(edges: DataFrame, target: str, stage: Stage, depth: int = 2) -> DataFrame:
     """(id, hop): who depends on ``target``, by the fewest hops back, at most 5."""
     depth = max(1, min(5, depth))
-    links = edges.select("src", "dst").distinct()
+    links = stage.cut(edges.select("src", "dst").distinct())
     seen = links.sparkSession.range(1).select(F.lit(target).alias("id"), F.lit(0).alias("hop"))
     frontier = seen
     for hop in range(1, depth + 1):
         step = frontier.join(links, frontier["id"] == links["dst"]).select(F.col("src").alias("id")).distinct()
-        frontier = step.join(seen, "id", "left_anti").withColumn("hop", F.lit(hop))
+        frontier = stage.cut(step.join(seen, "id", "left_anti").withColumn("hop", F.lit(hop)))
         seen = seen.unionByName(frontier)
     return seen.where("hop > 0")
 

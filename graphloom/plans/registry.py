@@ -87,7 +87,7 @@ SELECT id, min(hop) AS hop FROM back GROUP BY id HAVING min(hop) > 0"""
 )
 def blast_radius_part(spark, sf):
     """Who depends on part 1 within three hops."""
-    return graph.blast_radius(S.edges(spark, sf), "p1", 3)
+    return graph.blast_radius(S.edges(spark, sf), "p1", Stage(spark), 3)
 
 
 @query(

@@ -100,7 +100,7 @@ def test_reachable_and_unreached(spark):
 
 def test_blast_radius(spark):
     e = spark.createDataFrame(EDGES, "src string, dst string")
-    assert {(r.id, r.hop) for r in graph.blast_radius(e, "d", 9).collect()} == {("c", 1), ("b", 2), ("a", 3)}
+    assert {(r.id, r.hop) for r in graph.blast_radius(e, "d", Stage(spark), 9).collect()} == {("c", 1), ("b", 2), ("a", 3)}
 
 
 def test_ignores_shrink_groups(spark):
