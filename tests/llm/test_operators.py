@@ -253,6 +253,29 @@ def test_near_copies_go(spark, none):
     assert neardup.drop_near_copies(none).count() == 0
 
 
+def test_near_copies_with_a_block_more_or_less_go(spark):
+    r = random.Random(12)
+    rows = []
+    for i in range(40):
+        n = (40, 100, 400, 1500)[i % 4]
+        words = [f"w{r.randrange(10**6)}" for _ in range(n)]
+        more = [f"x{r.randrange(10**6)}" for _ in range(int(n * 0.22))]
+        less = n - int((n - 4) * 0.19)
+        rows += [(10 * i, words), (10 * i + 1, words + more), (10 * i + 2, more + words), (10 * i + 3, words[:less]), (10 * i + 4, words[n - less :])]
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in rows}
+    assert min(len(sets[i] & sets[i // 10 * 10]) / len(sets[i] | sets[i // 10 * 10]) for i, _ in rows) >= 0.8
+    got = neardup.drop_near_copies(docs(spark, [(i, " ".join(w)) for i, w in rows]))
+    assert sorted(x.doc_id for x in got.collect()) == [10 * i for i in range(40)]
+
+
+@pytest.mark.parametrize("run", [1024, 4])
+def test_band_links_hold_long_runs(spark, run, monkeypatch):
+    monkeypatch.setattr(neardup, "RUN", run)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join([*words[:i], f"x{i}", *words[i + 1 :]])) for i in range(30)]
+    assert [x.doc_id for x in neardup.drop_near_copies(docs(spark, rows)).collect()] == [0]
+
+
 # -- 6 -------------------------------------------------------------------------
 
 PATTERNS = {
