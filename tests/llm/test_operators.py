@@ -276,6 +276,26 @@ def test_band_links_hold_long_runs(spark, run, monkeypatch):
     assert [x.doc_id for x in neardup.drop_near_copies(docs(spark, rows)).collect()] == [0]
 
 
+@pytest.mark.parametrize("block", [256, 3])
+def test_copies_of_a_copy_of_the_root_go(spark, block, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    r = random.Random(13)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(400)]
+        for v in range(1, 12):
+            words = list(base)
+            at = 30 * v if g < 2 else r.randrange(370)
+            words[at : at + 30] = [f"v{g}.{v}.{i}" for i in range(30)]
+            rows.append((100 * g + v * 2, " ".join(words)))
+        rows.append((100 * g + 3, " ".join(base)))
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    want = sorted(i for i in sets if not any(k < i and alike(i, k) for k in sets))
+    assert want == [2, 102, 202] and not alike(2, 4)
+    assert sorted(x.doc_id for x in neardup.drop_near_copies(docs(spark, rows)).collect()) == want
+
+
 # -- 6 -------------------------------------------------------------------------
 
 PATTERNS = {
