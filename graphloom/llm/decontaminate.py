@@ -1,8 +1,8 @@
 """Benchmark decontamination in Catalyst expressions only.
 
-Item-sized windows of a document are laid around places where its word shingles
-are shingles of the item: a window of enough similarity shares many, so no other
-window can qualify. Every window and item has a SimHash of its shingle hashes;
+Item-sized windows of a document are laid at every start that holds enough places
+where its word shingles are shingles of the item, in whatever order: a window of
+enough similarity shares that many, so no other window can qualify. Every window and item has a SimHash of its shingle hashes;
 multi-index Hamming blocks (``radius + 1`` of them) find all fingerprints within
 the radius, and the exact weighted-shingle similarity, sum of smaller over sum
 of larger multiplicities, decides.
@@ -64,14 +64,11 @@ def _blocks(fp: str, radius: int) -> Column:
 def _starts(one: str, size: Column, similarity: float) -> Column:
     """Window starts that the shared places leave possible.
 
-    The first shared shingle of a window of enough similarity stands at most
-    ``(1 - similarity) * m`` from both the window's and the item's beginning, so
-    starts lie that near to a shared alignment; and the window must hold enough
-    shared places for its own length, which is shorter at a document's edge.
+    Every window with a shared place is tried. It must hold enough shared places
+    for its own length, which is shorter at a document's edge; their order is free.
     """
-    m, ats, seen = F.col(one)["m"], F.col(one)["ats"], F.col(one)["seen"]
-    slack = F.ceil(m * (1 - similarity)).cast("int")
-    near = F.array_distinct(F.flatten(F.transform(ats, lambda a: F.sequence(a - slack, a + slack))))
+    m, seen = F.col(one)["m"], F.col(one)["seen"]
+    near = F.array_distinct(F.flatten(F.transform(seen, lambda p: F.sequence(p - m + 1, p))))
 
     def possible(s: Column) -> Column:
         inside = F.size(F.filter(seen, lambda p: (p >= s) & (p < s + m)))
@@ -114,16 +111,16 @@ def leaks(
     found = None
     for k in sorted(known) or [shingle]:
         own = items.where(F.col("k") == k).select("item_id", shingles_of("w", k).alias("ih"))
-        index = own.select("item_id", F.size("ih").alias("m"), F.posexplode("ih").alias("off", "h"))
+        index = own.select("item_id", F.size("ih").alias("m"), F.explode(F.array_distinct("ih")).alias("h"))
         spots = source.select("key", F.posexplode(shingles_of("w", k)).alias("pos", "h"))
         # similarity s needs s * m of the item's m shingles: fewer shared ones can't do
         pairs = (
             spots.join(spread(index), "h")
             .groupBy("key", "item_id", "m")
-            .agg(F.collect_set("pos").alias("seen"), F.collect_set(F.col("pos") - F.col("off")).alias("ats"))
+            .agg(F.collect_set("pos").alias("seen"))
             .where(F.size("seen") >= F.col("m") * similarity - 1e-9)
         )
-        wanted = pairs.groupBy("key").agg(F.collect_list(F.struct("item_id", "m", "ats", "seen")).alias("wanted"))
+        wanted = pairs.groupBy("key").agg(F.collect_list(F.struct("item_id", "m", "seen")).alias("wanted"))
         lo, hi = F.greatest("at", F.lit(0)), F.least(F.col("at") + F.col("m"), F.size("hs"))
         windows = (
             source.join(wanted, "key")

@@ -426,6 +426,22 @@ def test_leaks_are_brute_force(spark, small):
     assert got == brute_leaks(rows, items) and len(got) > 20
 
 
+def test_reordered_leaks_are_brute_force(spark):
+    r = random.Random(14)
+    items, rows = [], []
+    for i in range(12):
+        n = (40, 50, 60, 90)[i % 4]
+        words = [f"i{i}w{j}" for j in range(n)]
+        items.append((i, " ".join(words)))
+        cut = n // 2 if i < 4 else r.randrange(5, n - 5)
+        for d, moved in enumerate((words[cut:] + words[:cut], words[cut:] + words[2:cut], words[cut // 2 : cut] + words[: cut // 2] + words[cut:])):
+            around = [f"o{r.randrange(10**6)}" for _ in range(60)]
+            rows.append((10 * i + d, " ".join(around[: 30 * (d % 2)] + moved + around[30:])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(docs(spark, rows), bench).collect()}
+    assert got == brute_leaks(rows, items) and (10, 1) in got and len(got) > 12
+
+
 def test_leaks_of_nothing(spark, odd, none):
     bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert decontaminate.leaks(none, bench).count() == 0
