@@ -40,8 +40,8 @@ GENERATORS = (
     ("email", r"(?i)[\[(]at[\])]|\sdot\s", rf"(?i)(?<![{LOCAL}])[{LOCAL}]{{1,64}}+\x20?(?:\[at\]|\(at\)|\x20at\x20)\x20?[a-z0-9-]{{1,63}}(?:\x20?(?:\[dot\]|\(dot\)|\x20dot\x20|\.)\x20?[a-z0-9-]{{2,63}}){{1,3}}"),
     ("phone", r"[0-9][0-9\x20().-]{7}", r"(?<![0-9A-Za-z.,+-])\(?[0-9][0-9\x20().-]{7,22}[0-9](?![0-9A-Za-z])"),
     ("card", r"[0-9][0-9\x20-]{10}", r"(?<![0-9A-Za-z.,+-])[0-9][0-9\x20-]{10,22}[0-9](?![0-9A-Za-z])"),
-    ("secret", r"(?i)token|secret|passw|key|bearer", r"(?i)(?<=(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|bearer)[\"']{0,1}\x20{0,1}[=:]{1,2}\x20{0,1}[\"']{0,1})[a-z0-9+/_=-]{8,256}"),
-    ("secret", r"[0-9a-fA-F]{32}", r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,128}(?![0-9A-Za-z])"),
+    ("secret", r"(?i)token|secret|passw|key|bearer", r"(?i)(?<=(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|bearer)[\"']{0,1}\x20{0,1}[=:]{1,2}\x20{0,1}[\"']{0,1})[a-z0-9+/_=-]{8,}+"),
+    ("secret", r"[0-9a-fA-F]{32}", r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,}+(?![0-9A-Za-z])"),
 )
 
 SPAN = "array<struct<s:int,e:int,t:string>>"

@@ -343,6 +343,18 @@ def test_pii_method_adds_spans_and_redacts(spark, none):
     assert pii.find_pii(none).count() == 0
 
 
+def test_long_secrets_are_whole(spark):
+    r = random.Random(15)
+    hexa = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    texts = {f'the token = "{hexa(600)}" here': "secret:13:613", f"see {hexa(129)} there": "secret:4:133", f"api_key={hexa(50_000)}": "secret:8:50008"}
+    for text, want in texts.items():
+        found = pii.candidates(F.col("text"))
+        got = docs(spark, [(1, text)]).select(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])).alias("x")).first().x
+        assert want in got and {x for x in got if x.startswith("secret")} == {want}
+    whole = docs(spark, [(1, next(iter(texts)))])
+    assert pii.find_pii(whole).select(pii.redact(F.col("text"), "spans").alias("t")).first().t == 'the token = "[SECRET]" here'
+
+
 # -- 7 -------------------------------------------------------------------------
 
 
