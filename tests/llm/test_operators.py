@@ -355,6 +355,12 @@ def test_long_secrets_are_whole(spark):
     assert pii.find_pii(whole).select(pii.redact(F.col("text"), "spans").alias("t")).first().t == 'the token = "[SECRET]" here'
 
 
+def test_email_domains_of_many_labels_are_whole(spark):
+    texts = ["mail x@a" + ".b" * n + " now" for n in (500, 501, 502, 200_000)]
+    got = pii.find_pii(docs(spark, list(enumerate(texts)))).select("doc_id", pii.joined("base").alias("b")).orderBy("doc_id").collect()
+    assert [x.b for x in got] == [brute_base(x) for x in texts] and got[3].b == "email:5:400008"
+
+
 # -- 7 -------------------------------------------------------------------------
 
 
