@@ -2,10 +2,10 @@
 
 Item-sized windows of a document are laid at every start that holds enough places
 where its word shingles are shingles of the item, in whatever order: a window of
-enough similarity shares that many, so no other window can qualify. Every window and item has a SimHash of its shingle hashes;
-multi-index Hamming blocks (``radius + 1`` of them) find all fingerprints within
-the radius, and the exact weighted-shingle similarity, sum of smaller over sum
-of larger multiplicities, decides.
+enough similarity shares that many, so no other window can qualify. The
+exact weighted-shingle similarity, sum of smaller over sum of larger
+multiplicities, decides every one of these; so few are left that a fingerprint
+before it would only lose some.
 """
 
 from __future__ import annotations
@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Hamming radius. Similarity 0.8 stands about ten bits apart; 20 is over 3.5
-#: standard deviations beyond.
-RADIUS = 20
 #: Shingles of all items that are broadcast at most; more are joined by shuffle.
 MAX_BROADCAST = 500_000
 
@@ -34,33 +31,6 @@ def shingles_of(words: str, k: int) -> Column:
     return F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), at)).otherwise(F.array().cast("array<bigint>"))
 
 
-def simhash_of(hashes: Column) -> Column:
-    """Bit set if set in over half of the hashes.
-
-    Never null: else a null check of it would be pushed below the projection that
-    makes ``hashes``, and each of its 64 steps would make them again.
-    """
-    ones = lambda b: F.aggregate(hashes, F.lit(0), lambda s, h: s + F.getbit(h, b).cast("int"))
-    bits = F.aggregate(
-        F.sequence(F.lit(0), F.lit(63)),
-        F.lit(0).cast("bigint"),
-        lambda acc, b: F.when(ones(b) * 2 > F.size(hashes), acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), b))).otherwise(acc),
-    )
-    return F.coalesce(bits, F.lit(0).cast("bigint"))
-
-
-def _blocks(fp: str, radius: int) -> Column:
-    """(block, value) keys: ``radius + 1`` stretches of the 64 bits."""
-    n = radius + 1
-    edges = [64 * i // n for i in range(n + 1)]
-    return F.array(
-        *[
-            F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(F.col(fp), a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("value"))
-            for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))
-        ]
-    )
-
-
 def _starts(one: str, size: Column, similarity: float) -> Column:
     """Window starts that the shared places leave possible.
 
@@ -92,7 +62,6 @@ def leaks(
     text: str = "text",
     shingle: int = SHINGLE,
     similarity: float = SIMILARITY,
-    radius: int = RADIUS,
 ) -> DataFrame:
     """``(key, item_id, start, n_words, similarity)``: the best window of each pair.
 
@@ -129,15 +98,10 @@ def leaks(
             .select("key", "hs", "one.item_id", "one.m", F.explode(_starts("one", F.size("hs"), similarity)).alias("at"))
             .select("key", "item_id", lo.alias("start"), F.slice("hs", lo + 1, hi - lo).alias("win"), F.lit(k).alias("k"))
             .dropDuplicates(["key", "item_id", "start", "win"])
-            .withColumn("fp", simhash_of(F.col("win")))
         )
-        sides = own.withColumn("ifp", simhash_of(F.col("ih")))
-        left = windows.withColumn("b", F.explode(_blocks("fp", radius))).select("*", "b.block", "b.value").drop("b")
-        right = sides.withColumn("b", F.explode(_blocks("ifp", radius))).select("item_id", "ih", "ifp", "b.block", "b.value")
         close = (
-            left.join(spread(right), ["item_id", "block", "value"])
-            .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius)
-            # once for all blocks that agree; as aggregates the arrays keep the costly test above the join
+            windows.join(spread(own), "item_id")
+            # as aggregates the arrays keep the costly test above the join
             .groupBy("key", "item_id", "start", "k", F.xxhash64("win").alias("wk"), F.xxhash64("ih").alias("ik"))
             .agg(F.first("win").alias("win"), F.first("ih").alias("ih"))
             .withColumn("similarity", weighted_similarity(F.col("win"), F.col("ih")))

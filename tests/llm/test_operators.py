@@ -460,6 +460,14 @@ def test_reordered_leaks_are_brute_force(spark):
     assert got == brute_leaks(rows, items) and (10, 1) in got and len(got) > 12
 
 
+def test_short_leaks_at_an_edge_are_brute_force(spark):
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(9))) for i in range(3000)]
+    rows = [(i, " ".join(t.split()[1:])) for i, t in items]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id, x.similarity) for x in decontaminate.leaks(docs(spark, rows), bench).collect()}
+    assert got == {(i, i, 0.8) for i in range(3000)}
+
+
 def test_leaks_of_nothing(spark, odd, none):
     bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert decontaminate.leaks(none, bench).count() == 0
