@@ -28,8 +28,38 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
+#: Files of a table that is written, for each core: fewer and larger ones where a
+#: plan ends in more tasks than that. A file costs a store several calls, and a
+#: local one several processes.
+FILES_PER_CORE = 4
+
+
+def few_files(df: DataFrame) -> DataFrame:
+    """``df`` in at most ``FILES_PER_CORE`` tasks a core, without a shuffle.
+
+    A task then runs the partitions it stands for one after the other, so it
+    needs no more memory than one of them.
+    """
+    return df.coalesce(FILES_PER_CORE * max(1, df.sparkSession.sparkContext.defaultParallelism))
+
+
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    """A session setting that holds inside, and is put back after."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 class Stage:
-    """Writes intermediate tables and forgets those no later step reads."""
+    """Writes intermediate tables and forgets those no later step reads.
+
+    The shuffle files of a cut go when it is written, so a query of several cuts
+    holds those of one cut at a time.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -40,7 +70,8 @@ class Stage:
         """Write ``df`` once and return a scan of what was written."""
         self.count += 1
         path = f"{self.root}/{self.count:04d}"
-        df.write.mode("overwrite").parquet(path)
+        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+            few_files(df).write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._staged = path
         return out
@@ -58,9 +89,6 @@ class Stage:
 def small_batches(spark: SparkSession, rows: int = 1000):
     """Arrow batches of at most ``rows`` rows for the plans that run inside."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
+    before = int(spark.conf.get(name))
+    with setting(spark, name, str(min(rows, before) if before > 0 else rows)):
         yield
-    finally:
-        spark.conf.set(name, before)
