@@ -28,19 +28,26 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
-#: Files of a table that is written, for each core: fewer and larger ones where a
-#: plan ends in more tasks than that. A file costs a store several calls, and a
-#: local one several processes.
-FILES_PER_CORE = 4
+#: A plan that ends in more tasks than this a core, and than there are pieces of
+#: this size in its inputs, is written in fewer: a file costs a store several
+#: calls, and a local one several processes.
+FILES_PER_CORE, FILE_BYTES = 4, 32 << 20
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Size of the tables that a plan reads, as Spark estimates it."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
 
 
 def few_files(df: DataFrame) -> DataFrame:
-    """``df`` in at most ``FILES_PER_CORE`` tasks a core, without a shuffle.
+    """``df`` without the many small tasks that small inputs make of a large setting; no shuffle.
 
     A task then runs the partitions it stands for one after the other, so it
     needs no more memory than one of them.
     """
-    return df.coalesce(FILES_PER_CORE * max(1, df.sparkSession.sparkContext.defaultParallelism))
+    cores = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    return df.coalesce(min(max(FILES_PER_CORE * cores, -(-input_bytes(df) // FILE_BYTES)), (1 << 31) - 1))
 
 
 @contextmanager
