@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import ann, bpe, chat, decontaminate, licenses, pii, simhash, suffixes, toxicity, urls
+from graphloom.plans.staging import few_files
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -137,6 +140,16 @@ LEFT JOIN done c ON c.pair_id = p.pair_id AND c.chosen
 LEFT JOIN done r ON r.pair_id = p.pair_id AND NOT r.chosen
 """
 
+def _compact(query):
+    """The query, its result in few files."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return few_files(query(spark, sf_dir))
+
+    return run
+
+
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_byte_bpe": op2_byte_bpe,
@@ -150,4 +163,6 @@ QUERIES = {
     "op10_chat_preferences": op10_chat_preferences,
 }
 
+QUERIES = {name: _compact(query) for name, query in QUERIES.items()}
+
 ORACLES = {"op9_url_filter": OP9_SQL, "op10_chat_preferences": OP10_SQL}

@@ -375,25 +375,15 @@ def removed_spans(size: int, pos: np.ndarray, mask: np.ndarray, whole: bool) ->
     return list(zip(start[np.r_[0, cut + 1]].tolist(), (start[np.r_[cut, len(start) - 1]] + LENGTH).tolist(), strict=True))
 
 
-def _free(spark) -> None:
-    """Let the driver forget shuffles that nothing reads, so that their files go."""
-    import gc
-    import time
-
-    for _ in range(2):  # what the first pass finds unreachable may hold the rest
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans)`` for every row.
 
     A byte goes if a 50-byte string over it also starts in a document of smaller
     doc_id. Null texts are empty. Rows of one doc_id are not smaller than each
     other. A row whose doc_id is null keeps all and takes nothing from others.
-    Extra columns are ignored. Runs at once, in Arrow batches small enough for
-    long texts, and returns a scan of what it wrote.
+    Extra columns are ignored, whatever their names; an empty table gives none.
+    The covered places are found at once, in Arrow batches small enough for long
+    texts; the texts are cut when the result is read.
     """
     with small_batches(docs.sparkSession):
         return _remove_repeats(docs, hot)
@@ -406,21 +396,18 @@ def _remove_repeats(docs: DataFrame, hot: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tid"))
     known = docs.where("doc_id is not null")
     # exact copies: the smallest id stands for all, later ones go whole
-    ids = stage.cut(known.select("doc_id", "tid", F.sha2("text", 256).alias("sha")))
+    ids = known.select("doc_id", "tid", F.sha2("text", 256).alias("sha"))
     least = stage.cut(ids.groupBy("sha", "tid").agg(F.min("doc_id").alias("first")))
     copies = ids.join(least, ["sha", "tid"]).where("doc_id > first").select(F.col("doc_id").alias("doc"), "tid").distinct()
 
     grams = known.select("tid", "text").mapInArrow(_emit_grams, "h long, tid long")
-    several = grams.repartition("h").sortWithinPartitions("h", "tid").mapInArrow(_shared, "h long, tid long")
-    shared = stage.cut(several)
-    del grams, several
-    _free(spark)
-    crowded = stage.cut(shared.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("h"))
+    shared = stage.cut(grams.repartition("h").sortWithinPartitions("h", "tid").mapInArrow(_shared, "h long, tid long"))
+    crowded = shared.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("h")
     any_hot = not crowded.isEmpty()
     marks = None
     for is_hot in (False, True) if any_hot else (False,):
         mine = shared.join(crowded, "h", "left_semi" if is_hot else "left_anti") if any_hot else shared
-        lists = mine.groupBy("tid").agg(F.collect_list("h").alias("hs"))
+        lists = mine.groupBy("tid").agg(F.collect_list("h").alias("hs"))  # as many as the text has anchors
         lists = lists.join(least, "tid").select(F.col("first").alias("doc_id"), "tid", "hs")
         rows = known.join(lists, ["doc_id", "tid"]).select("doc_id", "tid", "text", "hs")
         ctx = rows.mapInArrow(_emit_contexts, "h long, ctx binary, doc long, tid long, pos array<long>")
@@ -429,8 +416,6 @@ def _remove_repeats(docs: DataFrame, hot: int) -> DataFrame:
         else:
             part = stage.cut(ctx.repartition("h").sortWithinPartitions("h", "ctx", "doc").mapInArrow(_judge, "doc long, tid long, pos array<long>, mask long"))
         marks = part if marks is None else marks.unionByName(part)
-        del mine, lists, rows, ctx
-        _free(spark)
     per_doc = marks.groupBy("doc", "tid").agg(F.collect_list(F.struct("pos", "mask")).alias("marks"), F.lit(False).alias("whole"))
     whole = copies.select("doc", "tid", F.array().cast("array<struct<pos:array<bigint>,mask:bigint>>").alias("marks"), F.lit(True).alias("whole"))
     notes = per_doc.unionByName(whole)
@@ -438,7 +423,7 @@ def _remove_repeats(docs: DataFrame, hot: int) -> DataFrame:
     done = out.select("doc_id", "text", "marks", "whole").mapInArrow(
         _finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string"
     )
-    return stage.cut(done)
+    return done
 
 
 def _judge_hot(ctx: DataFrame) -> DataFrame:
