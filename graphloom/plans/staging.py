@@ -37,7 +37,7 @@ FILES_PER_CORE, FILE_BYTES = 4, 32 << 20
 def input_bytes(df: DataFrame) -> int:
     """Size of the tables that a plan reads, as Spark estimates it."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def few_files(df: DataFrame) -> DataFrame:
