@@ -398,6 +398,23 @@ def test_nearest_recall_scores_and_ties(spark):
     assert ann.nearest(df.where("false")).count() == 0
 
 
+def test_nearest_windows_have_recall(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((8000, 32)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(x)], "vec_id long, embedding array<float>, node string")
+    got = ann.nearest(df, every=50, rows=16).collect()  # 64 windows of 48 rows: 0.38 of the products
+    x = x.astype(float)
+    hits = 0
+    for q in range(0, 8000, 50):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20]) & {r.vec_id for r in got if r.query_id == q})
+    assert len(got) == 160 * 20 and hits / len(got) > 0.6
+    full = ann.nearest(df, every=50).collect()
+    wanted = {q: set(np.argsort(-(x @ x[q]))[1:21]) for q in range(0, 8000, 50)}
+    assert sum(r.vec_id in wanted[r.query_id] for r in full) / len(full) >= 0.9
+
+
 # -- 8 -------------------------------------------------------------------------
 
 
