@@ -558,6 +558,26 @@ def test_licences(spark, odd, none):
     ]
     got = [r.families for r in licenses.scan_documents(docs(spark, list(enumerate(texts)))).orderBy("doc_id").collect()]
     assert got == ["gpl", "cc-by-nc,mit", "apache", "", "mit", "", "", "proprietary"]
+    # sentences that neither training nor calibration holds, some wrapped as in a file's head
+    other = [
+        ("mit", "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated files, to deal\nin the Software without restriction, including the rights to use it."),
+        ("gpl", " * This program is free software: you can redistribute it and/or\n * modify it under the terms of the GNU General Public License as\n * published by the Free Software Foundation, either version 3 or later."),
+        ("apache", "Our tool is licensed under the Apache License, Version 2.0, and so is its manual."),
+        ("bsd", "Redistribution and use in source and binary forms, with or\nwithout modification, are permitted."),
+        ("agpl", "The server is licensed under the GNU Affero General Public License version 3."),
+        ("epl", "The modules are made available under the terms of the Eclipse Public License v2.0"),
+        ("isc", "Everything here is released under the ISC license, as ever."),
+        ("unlicense", "This is free and unencumbered software released into the public domain."),
+        ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0."),
+        ("", "The eclipse was visible under the open sky, and the public was free to watch."),
+        ("", "Terms of the lease: the software shop pays the general costs."),
+        ("", "The commons were licensed to graze sheep, by attribution of the bishop."),
+        ("", "He is licensed under Norwegian law to fish, version of the story two."),
+    ]
+    got = {r.doc_id: r.families for r in licenses.scan_documents(docs(spark, [(i, t) for i, (_, t) in enumerate(other)])).collect()}
+    assert [got[i] for i in range(len(other))] == [f for f, _ in other]
+    clash = docs(spark, [(1, texts[0])]).withColumn("gram", F.lit("x")).withColumn("w0", F.lit(2.0)).withColumn("a.b", F.lit(1))
+    assert [r.families for r in licenses.scan_documents(clash).collect()] == ["gpl"]
     rows = licenses.scan_documents(odd).collect()
     assert len(rows) == len(ODD) and not any(r.families for r in rows)
     assert licenses.scan_documents(none).count() == 0
