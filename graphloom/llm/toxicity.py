@@ -4,9 +4,11 @@ Each clause is read as a string of token classes (insult, threat, target,
 negation, report, other). Five Mealy machines rewrite it in turn: *negation*
 marks insults and threats in a negator's scope, *report* those after a speech
 verb, *target* those near a second or third person, *threat* the verbs that an
-announcing subject precedes, *insult* turns what is left into weights. They are
+announcing subject precedes, *insult* turns what is left into weights. A first
+machine reads the clause from its end and marks what a target follows. They are
 composed lazily into one transducer whose steps are memoised, so a clause costs
 one table look-up a token, and only clauses with a lexicon hit are read at all.
+What scores is clauses: no feature counts a word outside the machines.
 
 The insult lexicon (words and word stems, any language) is learned from labelled
 rows by greedy set cover; a logistic layer over the clause scores is fitted on
@@ -27,19 +29,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.plans.columns import quoted
 from graphloom.plans.staging import Stage
 
 #: Labelled rows that the lexicon and the logistic layer are fitted on, at most.
 MAX_ROWS = 20_000
 #: Stem lengths tried beside whole words.
 STEMS = range(4, 10)
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
+#: Typographic apostrophes, read as the plain one.
+APOSTROPHES = str.maketrans("\u2019\u02bc\uff07", "'''")
 CLAUSE = re.compile(r"[.!?;:\n]+")
 
 #: The closed word classes of the grammar in four languages, and
 #: the seed insults used where no labels are given.
 TARGETS = "you your he she they him her them du ihr euch sie er tu vous toi il elle ils tú usted ustedes él ella ellos".split()
-NEGATIONS = "not never no isn't aren't don't nicht kein keine nie pas jamais aucun nunca jamás ningún".split()
+NEGATIONS = "not never no isn't aren't wasn't don't doesn't nicht kein keine nie pas jamais aucun nunca jamás ningún".split()
 REPORTS = "said says called wrote quoted claimed told sagte schrieb nannte dit écrit appelé dijo escribió llamó".split()
 THREATS = "kill hurt destroy beat töten schlagen tuer frapper détruire matar golpear destruir".split()
 ANNOUNCERS = "i we will gonna ich wir werde werden je nous vais allons yo nosotros voy vamos".split()
@@ -62,8 +67,8 @@ def _scope(marker: str, length: int, suffix: str) -> Machine:
     def step(left: int, sym: str):
         if sym == marker:
             return length, sym
-        hit = left > 0 and sym in ("insult", "threat", "threat!")
-        return max(0, left - 1), sym + suffix if hit else sym
+        hit = left > 0 and sym in ("insult", "insult>", "threat", "threat!")
+        return max(0, left - 1), sym.replace(">", "") + suffix if hit else sym
 
     return Machine(0, step)
 
@@ -76,9 +81,25 @@ def _announced(left: int, sym: str):
     return max(0, left - 1), sym
 
 
+def _foretold(left: int, sym: str):
+    """Read from the clause's end: a target stands within the next three tokens."""
+    if sym == "target":
+        return 3, sym
+    return max(0, left - 1), sym + ">" if left and sym == "insult" else sym
+
+
+def _aimed(left: int, sym: str):
+    """Insults near a target on either side; the first mark gives way to those of the other machines."""
+    if sym == "target":
+        return 4, sym
+    plain = sym.replace(">", "")
+    return max(0, left - 1), "insult+" if plain == "insult" and (left or plain != sym) else plain
+
+
 NEGATION = _scope("neg", 3, "-")
 REPORT = _scope("report", 12, "~")
-TARGET = _scope("target", 4, "+")
+AHEAD = Machine(0, _foretold)
+TARGET = Machine(0, _aimed)
 THREAT = Machine(0, _announced)
 INSULT = Machine(None, lambda s, sym: (s, WEIGHTS.get(sym, 0.0)))
 
@@ -113,47 +134,60 @@ class Grammar:
             closed |= dict.fromkeys(some, kind)
         self.closed = closed
         self.threats = frozenset(THREATS)
+        self.ahead = Composed(AHEAD)
         self.fst = Composed(NEGATION, REPORT, TARGET, THREAT, INSULT)
 
     def __reduce__(self):
         return Grammar, (self.words, self.stems)
 
     def weight(self, word: str) -> float:
-        w = self.words.get(word, 0.0)
+        """Of a word, or of what it is the genitive of."""
+        w = max(self.words.get(word, 0.0), self.words.get(word.removesuffix("'s"), 0.0))
         for n in self.lengths:
             if n < len(word):
                 w = max(w, self.stems.get(word[:n], 0.0))
         return w
 
-    def features(self, text: str | None) -> list[float]:
-        """[best clause, log sum of clauses, log matched clauses, log tokens hit, share hit]."""
-        low = (text or "").lower()
-        every = WORD.findall(low)
-        heavy = {w: x for w in set(every) if (x := self.weight(w)) > 0}
-        if not heavy and not self.threats.intersection(every):
-            return [0.0] * 5
-        best = total = 0.0
-        clauses = hits = 0
+    def clauses(self, text: str | None) -> list[float]:
+        """The score of each clause that has one."""
+        low = _plain(text)
+        heavy = {w: x for w in set(WORD.findall(low)) if (x := self.weight(w)) > 0 or w in self.threats}
+        if not heavy:
+            return []
+        out = []
         for clause in CLAUSE.split(low):
-            words = [w for w in re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?", clause)]
-            if not any(w in heavy or w in self.threats for w in words):
+            words = WORD.findall(clause)
+            if heavy.keys().isdisjoint(words):
                 continue
+            symbols = ["insult" if heavy.get(w) else self.closed.get(w, "x") for w in words]
+            state = self.ahead.start
+            for i in range(len(symbols) - 1, -1, -1):
+                state, symbols[i] = self.ahead.step(state, symbols[i])
             state, score = self.fst.start, 0.0
-            for w in words:
-                x = heavy.get(w, 0.0)
-                state, out = self.fst.step(state, "insult" if x else self.closed.get(w, "x"))
-                score += out * (x or 1.0)
-                hits += x > 0
+            for w, sym in zip(words, symbols, strict=True):
+                state, got = self.fst.step(state, sym)
+                score += got * (heavy.get(w) or 1.0)
             if score > 0:
-                clauses += 1
-                best = max(best, score)
-                total += score
-        return [best, math.log1p(total), math.log1p(clauses), math.log1p(hits), hits / max(1, len(every))]
+                out.append(score)
+        return out
+
+    def features(self, text: str | None) -> list[float]:
+        """[best clause, second best, log sum of clauses, log matched clauses, log sum to the length]."""
+        scores = sorted(self.clauses(text), reverse=True)
+        if not scores:
+            return [0.0] * 5
+        total = sum(scores)
+        second = scores[1] if len(scores) > 1 else 0.0
+        return [scores[0], second, math.log1p(total), math.log1p(len(scores)), math.log1p(1000 * total / (len(text or "") + 50))]
+
+
+def _plain(text: str | None) -> str:
+    return (text or "").lower().translate(APOSTROPHES)
 
 
 def _forms(text: str) -> set[str]:
     """Whole words as ``=word`` and stems as ``stem``."""
-    words = set(WORD.findall(text.lower()))
+    words = set(WORD.findall(_plain(text)))
     out = {"=" + w for w in words if len(w) > 2}
     for n in STEMS:
         out |= {w[:n] for w in words if len(w) > n}
@@ -215,7 +249,7 @@ class Model:
 
 
 #: The logistic layer where nothing can be learned: one clear insult passes 0.7.
-PRIOR = (2.5, 0.8, 0.3, 0.3, 1.0, -2.2)
+PRIOR = (2.5, 0.3, 0.8, 0.3, 0.1, -2.2)
 
 
 def held_out(key: str = "doc_id"):
@@ -223,13 +257,18 @@ def held_out(key: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, stage: Stage | None = None, max_rows: int = MAX_ROWS) -> Model:
-    """Learn from labelled rows outside the held-out fold, at most ``max_rows``."""
+    """Learn from labelled rows outside the held-out fold, at most ``max_rows``.
+
+    Null labels and ids teach nothing, an id with several labels counts as toxic if
+    one says so, equal texts count once (toxic if one is), null texts are empty.
+    Without a toxic label the seed words are the lexicon. Extra columns are ignored.
+    """
     stage = stage or Stage(docs.sparkSession)
     known = labels.where("toxic is not null and doc_id is not null").where(~F.coalesce(held_out(), F.lit(False)))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
     # copies would make each of their words look like a sign
-    rows = stage.cut(rows.groupBy(F.xxhash64("text").alias("h")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")))
+    rows = stage.cut(rows.groupBy(F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("sha")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")))
     toxic, clean = rows.where("toxic = 1"), rows.where("toxic <> 1")
     n = toxic.count()
     least = max(3, round(0.004 * n))
@@ -263,18 +302,22 @@ def fit(docs: DataFrame, labels: DataFrame, stage: Stage | None = None, max_rows
     return Model(grammar, _logistic(np.array([r.x for r in got]), np.array([float(r.toxic == 1) for r in got])))
 
 
-def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` plus ``score`` (0 to 1). Null and empty texts score as no clause.
+def score_documents(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
+    """``docs`` plus ``score`` (0 to 1; the name is a parameter). Null and empty texts score as no clause.
 
-    Repeated rows stay; a clashing column named ``score`` is replaced.
+    Texts are scored whole. Repeated rows stay, an empty table gives none; a column
+    that has the name already is replaced, all others stay, whatever their names.
     """
-    keep = [f for f in docs.schema.fields if f.name != "score"]
-    docs = docs.select(*[F.col(f"`{f.name}`") for f in keep])
+    keep = [f for f in docs.schema.fields if f.name != score]
+    # Arrow functions take no column whose name has a dot
+    plain = docs.select(*quoted(f.name for f in keep)).toDF(*[f"c{i}" for i in range(len(keep))])
+    at = [f.name for f in keep].index(text)
     share = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = [share.value.score(t.as_py()) for t in b.column(text)]
+            scores = [share.value.score(t.as_py()) for t in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, "score"])
 
-    return docs.mapInArrow(run, T.StructType([*keep, T.StructField("score", T.DoubleType())]))
+    made = plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())]))
+    return made.toDF(*[f.name for f in keep], score)
