@@ -1,14 +1,15 @@
 """URL rules held in a sorted array of digests.
 
-Every rule ``(host, path)`` is one 64-bit xxhash key. The sorted keys go to a
-file that each Python worker memory-maps; a URL probes it with one key for
-each (host suffix, path prefix length in use), by vectorised binary search over
-an Arrow batch, and each hit is confirmed against the stored rule text, so a
-collision of digests never decides.
+Every rule ``(host, path)`` is one 64-bit xxhash key. The sorted keys go to one
+file that Spark hands to each executor once and that all its Python workers
+memory-map; a URL probes it with one key for each (host suffix, path prefix
+length in use), by vectorised binary search over an Arrow batch, and each hit is
+confirmed against the stored rule text, so a collision of digests never decides.
 """
 
 from __future__ import annotations
 
+import os
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -16,10 +17,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.plans.columns import quoted
+
 #: The largest rule array that is sent to executors as a file.
 MAX_ARRAY_BYTES = 512 << 20
+_HANDED_OUT: set[tuple[str, str]] = set()
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -41,16 +46,16 @@ def digest(key: str) -> int:
 class DigestArray:
     """Sorted keys, memory-mapped, with the full strings behind them."""
 
-    def __init__(self, arrays: dict[str, np.ndarray]):
-        with tempfile.TemporaryDirectory() as d:  # a mapping outlives the name of its file
-            for name, a in arrays.items():
-                np.save(f"{d}/{name}.npy", a)
-            self.keys, self.starts, self.text, self.lengths = (
-                np.load(f"{d}/{x}.npy", mmap_mode="r") for x in ("keys", "starts", "text", "lengths")
-            )
+    def __init__(self, path: str):
+        data = np.memmap(path, np.uint8, "r")
+        n, lengths = data[:16].view(np.int64)
+        ends = np.cumsum([16, 8 * n, 8 * (n + 1), 8 * lengths])
+        self.keys, self.starts, self.lengths = (data[a:b].view(t) for a, b, t in zip(ends, ends[1:], (np.uint64, np.int64, np.int64), strict=False))
+        self.text = data[ends[-1] :]
 
     @staticmethod
-    def build(rules: Iterable[tuple[str, str, str]]) -> dict[str, np.ndarray]:
+    def build(rules: Iterable[tuple[str, str, str]]) -> bytes:
+        """The file of a rule set: sizes, keys, starts of the strings, path lengths, strings."""
         rows: dict[str, str] = {}
         for host, path, verdict in rules:
             rows[f"{host}\0{path}"] = verdict
@@ -59,12 +64,23 @@ class DigestArray:
         total = sum(map(len, blobs)) + 16 * len(blobs)
         if total > MAX_ARRAY_BYTES:
             raise ValueError(f"{total} bytes of rules; judge_by_join() takes rule tables of any size")
-        return {
-            "keys": np.array([x[0] for x in made], np.uint64),
-            "starts": np.cumsum([0, *map(len, blobs)]).astype(np.int64),
-            "text": np.frombuffer(b"".join(blobs), np.uint8),
-            "lengths": np.array(sorted({len(k.partition("\0")[2]) for k in rows}), np.int64),
-        }
+        lengths = np.array(sorted({len(k.partition("\0")[2]) for k in rows}), np.int64)
+        keys, starts = np.array([x[0] for x in made], np.uint64), np.cumsum([0, *map(len, blobs)]).astype(np.int64)
+        return b"".join((np.array([len(keys), len(lengths)], np.int64).tobytes(), keys.tobytes(), starts.tobytes(), lengths.tobytes(), *blobs))
+
+    @staticmethod
+    def hand_out(spark: SparkSession, rules: Iterable[tuple[str, str, str]]) -> str:
+        """Give every executor the file of the rules, once for a session; its name there."""
+        data = DigestArray.build(rules)  # its size is checked there
+        name = f"graphloom-rules-{xxhash.xxh128_hexdigest(data)}.bin"
+        sc = spark.sparkContext
+        if (sc.applicationId, name) not in _HANDED_OUT:
+            path = os.path.join(tempfile.mkdtemp(prefix="graphloom-rules-"), name)  # on the driver, which serves it
+            with open(path, "wb") as f:
+                f.write(data)
+            sc.addFile(path)
+            _HANDED_OUT.add((sc.applicationId, name))
+        return name
 
     def lookup(self, wanted: list[str]) -> list[str | None]:
         """The verdict stored for each full key, or None."""
@@ -97,16 +113,19 @@ def judge_urls(
     rows stay; a clashing column of the input named like a result is replaced.
     """
     spark: SparkSession = pages.sparkSession
-    arrays = spark.sparkContext.broadcast(DigestArray.build(rules))  # its size is checked there
+    name = DigestArray.hand_out(spark, rules)
     made = ("host", "path", "rule", "verdict")
     cols = [c for c in (keep or pages.columns) if c not in made]
-    src = pages.select(*[f"`{c}`" for c in dict.fromkeys([*cols, url])])
-    schema = T.StructType([*[pages.schema[c] for c in cols], *[T.StructField(c, T.StringType()) for c in made]])
+    # Arrow functions take no column whose name has a dot
+    src = pages.select(*quoted(cols), F.col(f"`{url}`")).toDF(*[f"c{i}" for i in range(len(cols))], "url")
+    schema = T.StructType([*src.schema.fields[:-1], *[T.StructField(c, T.StringType()) for c in made]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        array = DigestArray(arrays.value)
+        from pyspark import SparkFiles
+
+        array = DigestArray(SparkFiles.get(name))
         for b in batches:
-            split = [parts(u) for u in b.column(url).to_pylist()]
+            split = [parts(u) for u in b.column(len(cols)).to_pylist()]
             wanted: list[str] = []
             owner: list[tuple[int, str, str]] = []
             for i, (host, path) in enumerate(split):
@@ -124,16 +143,16 @@ def judge_urls(
             found = [best.get(i) for i in range(len(split))]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *[b.column(c) for c in cols],
+                    *b.columns[:-1],
                     pa.array([h for h, _ in split], pa.string()),
                     pa.array([p for _, p in split], pa.string()),
                     pa.array([f[2] if f else None for f in found], pa.string()),
                     pa.array([f[3] if f else default for f in found], pa.string()),
                 ],
-                names=[*cols, *made],
+                names=schema.names,
             )
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(run, schema).toDF(*cols, *made)
 
 
 def judge_by_join(pages: DataFrame, rules: DataFrame, key: str, url: str = "url", default: str = "allow") -> DataFrame:
@@ -141,8 +160,6 @@ def judge_by_join(pages: DataFrame, rules: DataFrame, key: str, url: str = "url"
 
     ``key`` identifies a page row; returns it with rule and verdict.
     """
-    from pyspark.sql import functions as F
-
     rest = F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"(?s)^.*?://(.*)\z", 1)
     host = F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     path = F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
