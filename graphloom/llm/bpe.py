@@ -18,9 +18,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.plans.columns import quoted
+
 #: Pieces remembered by a worker, and the longest remembered piece; longer or
 #: later ones are encoded anew, so these bound memory and never change a result.
 CACHE_PIECES = 600_000
@@ -129,6 +130,8 @@ class Codec:
                             fits = self.judged[pair] = follow(last[end - n], t)
                         if fits:
                             break
+            else:
+                raise ValueError("no token of the vocabulary ends this prefix")
             last.append(t)
             if end in SHARED:
                 if len(seen) >= CACHE_PIECES:
@@ -246,19 +249,21 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
     ranks = docs.sparkSession.sparkContext.broadcast((table, pattern))
     made = ("n_tokens", "ids_sha256", "decoded_sha256")
     keep = [f for f in docs.schema.fields if f.name not in made]
-    docs = docs.select(*[F.col(f"`{f.name}`") for f in keep])
-    schema = T.StructType([*keep, T.StructField("n_tokens", T.LongType()), *[T.StructField(c, T.StringType()) for c in made[1:]]])
+    # Arrow functions take no column whose name has a dot
+    plain = docs.select(*quoted(f.name for f in keep)).toDF(*[f"c{i}" for i in range(len(keep))])
+    at = [f.name for f in keep].index(text)
+    schema = T.StructType([*plain.schema.fields, T.StructField("n_tokens", T.LongType()), *[T.StructField(c, T.StringType()) for c in made[1:]]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for b in batches:
             if codec is None:
                 codec = _CODECS.get(named) or _CODECS.setdefault(named, Codec(*ranks.value))
-            got = [codec.digest(t or "") for t in b.column(text).to_pylist()]
+            got = [codec.digest(t or "") for t in b.column(at).to_pylist()]
             n, ids, dec = zip(*got, strict=True) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(dec, pa.string())],
                 names=[*b.schema.names, *made],
             )
 
-    return docs.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*[f.name for f in keep], *made)
