@@ -58,3 +58,28 @@ def test_stages_on_an_empty_table(spark, small):
         docs = stage.cut(step(spark, docs, small))
         assert docs.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, small).count() == 0
+
+
+ODD = [
+    (1, None), (2, ""), (3, "  "), (4, "one"), (5, "word " * 50_000), (6, "mail me at a.b@example.org now"), (6, "mail me at a.b@example.org now"), (7, "mail me at a.b@example.org now"),
+    (None, "no id but words"), (8, "x" * 200_000), (9, "two words"), (10, "two words"),
+]
+
+
+def test_stages_take_odd_rows_and_any_columns(spark, small):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, base string, spans string, _c string, _n int, _sha string, _keep string, `a.b` int, key int, sha string"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 0.25, "b", "mine", "c", 7, "s", "k", 3, 4, "z") for i, t in ODD], schema)
+    stage = Stage(spark)
+    kept = {}
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        got = step(spark, docs, small)
+        assert got.columns == docs.columns
+        docs = stage.cut(got)
+        rows = kept[name] = docs.collect()
+        assert all((r["score"], r["base"], r["spans"], r["_c"], r["_n"], r["_sha"], r["_keep"], r["a.b"], r["key"]) == (0.25, "b", "mine", "c", 7, "s", "k", 3, 4) for r in rows)
+    assert len(kept["toxicity"]) == len(ODD)
+    ids = sorted((r.doc_id or 0, (r.text or "")[:10]) for r in kept["simhash_near_dedup"])
+    assert [i for i, _ in ids] == [0, 1, 4, 5, 6, 8, 9]
+    assert len(kept["benchmark_decontamination"]) == 7
+    assert {r.doc_id: r.text for r in kept["pii"]}[6] == "mail me at [EMAIL] now"
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, small).count() == 7
