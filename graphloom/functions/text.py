@@ -7,10 +7,30 @@ from pyspark.sql import functions as F
 
 #: Words of prose: letters, digits and underscores of any script.
 WORD = r"[\p{L}\p{N}_]+"
-#: Common words that say nothing about a subject.
-STOP = ("the", "of", "and", "to", "in", "is", "for", "get", "set", "new", "return")
-#: Shortened words and what they stand for.
-SHORT = {"fmt": "format", "msg": "message", "cfg": "config", "db": "database", "btn": "button", "usr": "user", "num": "number", "str": "string", "idx": "index", "err": "error"}
+#: Words of identifiers that carry no intent.
+STOP = (
+    "get", "set", "to", "from", "the", "a", "an", "is", "of", "value", "data",
+    "result", "item", "items", "obj", "object", "arg", "args", "opt", "opts",
+    "options", "param", "params", "fn", "cb", "callback", "tmp", "temp", "x", "y", "i",
+)
+#: Shortened words and what they stand for.
+SHORT = {
+    "ms": "millisecond", "msec": "millisecond", "millis": "millisecond",
+    "sec": "second", "secs": "second", "s": "second",
+    "min": "minute", "mins": "minute",
+    "hr": "hour", "hrs": "hour",
+    "ts": "timestamp", "dt": "datetime",
+    "num": "number", "cnt": "count", "amt": "amount", "qty": "quantity",
+    "str": "string", "bool": "boolean", "int": "integer",
+    "msg": "message", "err": "error", "ex": "exception",
+    "req": "request", "res": "response", "resp": "response",
+    "cfg": "config", "conf": "config", "config": "config", "env": "environment",
+    "auth": "authenticate", "usr": "user", "acct": "account", "addr": "address",
+    "db": "database", "repo": "repository", "svc": "service", "ctx": "context",
+    "init": "initialise", "calc": "calculate", "conv": "convert",
+    "fmt": "format", "len": "length", "idx": "index", "buf": "buffer",
+    "dir": "directory", "pkg": "package", "dep": "dependency", "util": "utility",
+}
 
 
 def stem(word: Column) -> Column:
@@ -38,7 +58,7 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-TOKEN = r"'[^'\n]*'|\"[^\"\n]*\"|[A-Za-z_$][A-Za-z0-9_$]*|[0-9]+(?:\.[0-9]+)?|[^\sA-Za-z0-9_$]"
+TOKEN = r"'[^']*'|\"[^\"]*\"|`[^`]*`|[A-Za-z_$][A-Za-z0-9_$]*|[0-9]+(?:\.[0-9]+)?|[^\sA-Za-z0-9_]"
 
 
 def tokens(code: Column) -> Column:
@@ -53,14 +73,20 @@ def shingles(items: Column, n: int) -> Column:
     )
 
 
-KEYWORDS = ("if", "else", "for", "while", "return", "function", "def", "class", "const", "let", "var", "import", "from", "new", "try", "catch", "throw", "async", "await", "func", "switch", "case", "in", "of", "not", "and", "or")
+#: Words that keep their place in the structure of code.
+KEYWORDS = (
+    "const", "let", "var", "function", "return", "if", "else", "for", "while", "do",
+    "switch", "case", "break", "continue", "new", "try", "catch", "finally", "throw",
+    "typeof", "instanceof", "async", "await", "yield", "class", "extends", "super",
+    "this", "null", "undefined", "true", "false", "in", "of", "delete", "void",
+)
 
 
 def structure(code: Column) -> Column:
     """Token classes: keywords stay, strings S, numbers N, names ID, marks stay."""
     return F.transform(
         tokens(code),
-        lambda t: F.when(t.rlike("^['\"]"), "S").when(t.rlike("^[0-9]"), "N").when(t.isin(*KEYWORDS), t).when(t.rlike("^[A-Za-z_$]"), "ID").otherwise(t),
+        lambda t: F.when(t.rlike("^['\"`]"), "S").when(t.rlike("^[0-9]"), "N").when(t.isin(*KEYWORDS), t).when(t.rlike("^[A-Za-z_$]"), "ID").otherwise(t),
     )
 
 

@@ -30,7 +30,7 @@ def split_population(sites: DataFrame, least: int = 2, share: float = 0.15) -> D
     return n.where((rare >= least) & (rare >= share * (F.col("n_a") + F.col("n_b"))))
 
 
-def drift(uses: DataFrame, least: int = 4) -> DataFrame:
+def drift(uses: DataFrame, least: int | Column = 4) -> DataFrame:
     """(category, dialect, n, share, rank, score): minority dialects of mixed categories.
 
     ``uses``: (category, dialect). Categories need ``least`` uses and two dialects;

@@ -10,7 +10,7 @@ from __future__ import annotations
 import bisect
 import re
 
-LANGUAGES = {".ts": "ts", ".tsx": "ts", ".js": "ts", ".jsx": "ts", ".mjs": "ts", ".cjs": "ts", ".go": "go", ".swift": "swift"}
+LANGUAGES = {".ts": "ts", ".tsx": "ts", ".js": "ts", ".jsx": "ts", ".mjs": "ts", ".cjs": "ts", ".mts": "ts", ".cts": "ts", ".go": "go", ".swift": "swift"}
 STUB = re.compile(r"not[\s_-]*implemented|unimplemented", re.I)
 MARK = re.compile(r"\b(TODO|FIXME|XXX)\b")
 NAME = re.compile(r"[A-Za-z_$][\w$]*")
@@ -91,6 +91,51 @@ def blank(text: str, lang: str) -> tuple[str, list[tuple[int, str]]]:
     return "".join(out), [s for s in strings if s[1]]
 
 
+def uncommented(text: str, code: str, strings: list[tuple[int, str]]) -> str:
+    """The text without its comments; strings and lines stay."""
+    out = list(code)
+    for at, s in strings:
+        out[at + 1 : at + 1 + len(s)] = s
+    return "".join(out)
+
+
+#: A comment that names another copy and says why it differs.
+INTENDED = re.compile(r"\b(deliberately|intentionally|on purpose|by design|unlike|differs?|different(ly)?)\b", re.I)
+SAME = re.compile(r"\b(same|identical|copy|copied|mirrors?|in sync|matches)\b", re.I)
+
+
+def note_above(lines: list[str], line: int) -> str:
+    """The comment right above a line (from 1) that explains a difference; empty without one."""
+    said = []
+    for i in range(line - 2, max(-1, line - 32), -1):
+        text = lines[i].strip()
+        if re.match(r"//|/\*|\*|#", text):
+            said.append(text)
+        elif not text.startswith("@"):
+            break
+    note = " ".join(said)
+    return note if INTENDED.search(note) and not SAME.search(note) else ""
+
+
+def innermost(owners: list[tuple[int, int, str]]) -> tuple[list[int], list[str]]:
+    """Places where the innermost owner changes, and its name from there on."""
+    at, names, stack = [0], [""], []
+
+    def leave(until: int) -> None:
+        while stack and stack[-1][0] <= until:
+            end = stack.pop()[0]
+            at.append(end)
+            names.append(stack[-1][1] if stack else "")
+
+    for a, b, name in sorted(owners, key=lambda o: (o[0], -o[1])):
+        leave(a)
+        stack.append((b, name))
+        at.append(a)
+        names.append(name)
+    leave(1 << 60)
+    return at, names
+
+
 def _close(code: str, at: int) -> int:
     """Offset just after the brace that closes the one at or after ``at``; the line's end without one."""
     start, line = code.find("{", at), code.find("\n", at)
@@ -147,8 +192,10 @@ def facts(path: str, text: str) -> list[tuple]:
     code, strings = blank(text, lang)
     nl = [m.start() for m in re.finditer("\n", code)]
     line_of = lambda at: bisect.bisect_left(nl, at) + 1
+    plain, rows = uncommented(text, code, strings), text.split("\n")
     out: list[tuple] = []
     add = lambda t, at, a="", b="", c="", d="": out.append((t, path, line_of(at), a, b, c, d))
+    add("text", 0, plain)
     owners: list[tuple[int, int, str]] = []
     names_at: set[int] = set()
 
@@ -160,13 +207,25 @@ def facts(path: str, text: str) -> list[tuple]:
         owners.append((at, end, f"{container}.{name}" if container else name))
         body = code.find("{", name_at)
         whole = text[body + 1 : end - 1] if 0 <= body < end else text[name_at:end]
-        add("body", at, name, container, " ".join(re.sub(r"//[^\n]*|/\*.*?\*/", " ", whole, flags=re.S).split()))
+        add("body", at, name, container, " ".join(plain[body + 1 : end - 1].split() if 0 <= body < end else plain[name_at:end].split()), plain[at:end])
+        if note := note_above(rows, line_of(at)):
+            add("note", at, name, container, note)
         if kind in ("function", "method"):
-            plain = code[body + 1 : end - 1].strip() if 0 <= body < end else ""
-            only = re.fullmatch(r"(?:throw\s+new\s+\w+|panic|fatalError|preconditionFailure)\s*\([^;]*\)\s*;?", plain)
-            if 0 <= body < end and (only and STUB.search(whole) or not plain and MARK.search(text[body:end])):
+            inner = code[body + 1 : end - 1].strip() if 0 <= body < end else ""
+            only = re.fullmatch(r"(?:throw\s+new\s+\w+|panic|fatalError|preconditionFailure)\s*\([^;]*\)\s*;?", inner)
+            if 0 <= body < end and (only and STUB.search(whole) or not inner and MARK.search(text[body:end])):
                 add("stub", at, name, container)
 
+    marks = {m.end(): (m[1], m.start()) for m in re.finditer(r"@([\w.]+)(?:\((?:[^()]|\([^()]*\))*\))?[ \t]*\n?[ \t]*", code)}
+
+    def decorators_before(at: int) -> list[str]:
+        """All the decorators that end where a declaration begins, the last first."""
+        found = []
+        while at in marks:
+            name, at = marks[at]
+            found.append(name)
+        return found
+
     depth_at, depth = [0] * (len(code) + 1), 0
     for k, ch in enumerate(code):
         depth_at[k] = depth
@@ -189,7 +248,7 @@ def facts(path: str, text: str) -> list[tuple]:
                 declare(at, m.start("n"), end, name, container, "function" if is_function else kind, exported)
             if kind == "variable" and not is_function:
                 value = text[m.end() : end].strip().rstrip(";")
-                add("constant", at, name, value.lstrip("= ").strip()[:120])
+                add("constant", at, name, value.lstrip("= ").strip())
             for base in re.findall(r"[\w$]+", " ".join(filter(None, (g.get("e"), g.get("i"))))):
                 add("heritage", at, name, base, "extends")
             if kind in ("class", "extension") and lang in _MEMBER:
@@ -199,17 +258,13 @@ def facts(path: str, text: str) -> list[tuple]:
                     if depth_at[k.start("n")] == depth_at[open_at] + 1 and k["n"] not in ("if", "for", "while", "switch", "catch", "return"):
                         shown = "private" not in k[0] and not k["n"].startswith("#") if lang == "ts" else bool(re.search(r"\b(public|open)\b", k[0]))
                         declare(k.start(), k.start("n"), _close(code, k.end()), k["n"], name, "method", shown)
-                        for a in re.findall(r"@(\w+)", k[0]):
+                        for a in [*re.findall(r"@(\w+)", k[0]), *decorators_before(k.start())]:
                             add("decorator", k.start(), k["n"], name, a)
-            for a in re.findall(r"@([\w.]+)(?:\([^)]*\))?\s*$", code[max(0, at - 80) : at]):
+            for a in decorators_before(at):
                 add("decorator", at, name, container, a)
 
-    def enclosing(at: int) -> str:
-        best, width = "", 1 << 60
-        for a, b, name in owners:
-            if a <= at < b and b - a < width:
-                best, width = name, b - a
-        return best
+    changes, inside = innermost(owners)
+    enclosing = lambda at: inside[bisect.bisect_right(changes, at) - 1]
 
     if lang == "ts":
         for m in re.finditer(r"(import|export)\b([^;'\"`]*?)\bfrom\s*(['\"])|import\s*(['\"])|(?:import|require)\s*\(\s*(['\"`])", code):
@@ -243,7 +298,7 @@ def facts(path: str, text: str) -> list[tuple]:
         name = m[0]
         if name in WORDS or m.start() in names_at:
             continue
-        before, after = code[:m.start()].rstrip(" "), code[m.end() : m.end() + 2].lstrip(" ")
+        before, after = code[max(0, m.start() - 200) : m.start()].rstrip(" "), code[m.end() : m.end() + 2].lstrip(" ")
         form = "call" if after[:1] == "(" else "bare"
         dotted = before[-1:] == "." and before[-2:] != ".."
         base = re.search(r"([\w$]+)\s*[?!]?\.$", before[-60:]) if dotted else None
@@ -251,14 +306,9 @@ def facts(path: str, text: str) -> list[tuple]:
     for o, s in strings:
         if s.isidentifier():
             add("string", o, s)
-            if code[:o].rstrip().endswith("["):
+            if code[max(0, o - 80) : o].rstrip().endswith("["):
                 add("ref", o, s, "?", "attr", enclosing(o))
     if lang == "ts":
         for name, at in _unset(code):
             add("unset", at, name)
-    for m in re.finditer(r"process\.env\.(\w+)\s*(?:\|\||\?\?)\s*", code):
-        value = text[m.end() :].split("\n", 1)[0]
-        lit = re.match(r"""['"`]([^'"`]*)['"`]|(\d+)""", value)
-        if lit:
-            add("setting", m.start(), m[1], lit[1] or lit[2] or "")
     return out

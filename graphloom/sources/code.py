@@ -13,18 +13,22 @@ from graphloom.functions.text import glob_regex
 
 FACT = "tab string, file string, line int, a string, b string, c string, d string, seq long"
 SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", "/index.ts", "/index.tsx", "/index.js", ".py", "/__init__.py")
-INCLUDE = ("**/*.{ts,tsx,js,jsx,mjs,cjs,py,go,swift,mdx,vue,svelte,astro,html}",)
+INCLUDE = ("**/*.{ts,tsx,js,jsx,mjs,cjs,mts,cts,py,go,swift,mdx,md,vue,svelte,astro,html}",)
 EXCLUDE = ("**/node_modules/**", "**/dist/**", "**/build/**", "**/vendor/**", "**/__pycache__/**", "**/.*/**", ".*/**", "**/*.d.ts")
 
 
 def scan(spark: SparkSession, root: str, include: tuple[str, ...] = INCLUDE, exclude: tuple[str, ...] = EXCLUDE) -> DataFrame:
     """(file, content) of a folder tree, globs as predicates on the path under ``root``."""
     base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     path = F.regexp_replace(F.col("path"), "^file:/+", "/")
-    files = raw.select(F.substring(path, F.lit(len(base) + 2), F.length(path)).alias("file"), F.decode("content", "UTF-8").alias("content"))
+    name = F.substring(path, F.lit(len(base) + 2), F.length(path)).alias("file")
     hit = lambda globs: F.rlike("file", F.lit("|".join(map(glob_regex, globs))))
-    return files.where(hit(include) & ~hit(exclude))
+    # names alone first, so that nothing reads the bytes of what the globs leave out
+    wanted = [r.path for r in read.load(base).select("path", name).where(hit(include) & ~hit(exclude)).select("path").collect()]
+    if not wanted:
+        return spark.createDataFrame([], "file string, content string")
+    return read.load(wanted).select(name, F.decode("content", "UTF-8").alias("content"))
 
 
 def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -70,14 +74,15 @@ def build(files: DataFrame, stage) -> Graph:
         sid(F.col("file"), full).alias("id"), "file", "lang", "seq", F.col("a").alias("name"), F.col("b").alias("container"), F.col("c").alias("kind"), "line", F.col("d").cast("int").alias("end_line")
     )
     decl = decl.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r").join(exported, ["file", "name", "container"], "left")
-    body = of("body").select(sid(F.col("file"), full).alias("id"), F.col("c").alias("body")).groupBy("id").agg(F.first("body").alias("body"))
+    body = of("body").select(sid(F.col("file"), full).alias("id"), "seq", F.struct(F.col("c").alias("body"), F.col("d").alias("source")).alias("x"))
+    body = body.groupBy("id").agg(F.min_by("x", "seq").alias("x")).select("id", "x.*")
     shown = F.when(F.col("lang") == "py", ~F.col("name").startswith("_")).otherwise(F.coalesce("x", F.lit(False)))
     symbols = decl.join(body, "id", "left").select(
-        "id", "file", "lang", "seq", "name", "container", "kind", "line", "end_line", (F.col("end_line") - F.col("line") + 1).alias("loc"), shown.alias("exported"), F.coalesce("body", F.lit("")).alias("body")
+        "id", "file", "lang", "seq", "name", "container", "kind", "line", "end_line", (F.col("end_line") - F.col("line") + 1).alias("loc"), shown.alias("exported"), F.coalesce("body", F.lit("")).alias("body"), F.coalesce("source", F.lit("")).alias("source")
     )
     modules = files.select("file").withColumn("lang", _lang(F.col("file"))).select(
         sid(F.col("file"), F.lit("")).alias("id"), "file", "lang", F.lit(-1).cast("long").alias("seq"), F.lit("<module>").alias("name"), F.lit("").alias("container"),
-        F.lit("module").alias("kind"), F.lit(0).alias("line"), F.lit(0).alias("end_line"), F.lit(0).alias("loc"), F.lit(False).alias("exported"), F.lit("").alias("body"),
+        F.lit("module").alias("kind"), F.lit(0).alias("line"), F.lit(0).alias("end_line"), F.lit(0).alias("loc"), F.lit(False).alias("exported"), F.lit("").alias("body"), F.lit("").alias("source"),
     )
     symbols = stage.cut(symbols.unionByName(modules))
     names = symbols.where("kind <> 'module'").select("id", "file", "lang", "name", "container", "kind", _dir(F.col("file")).alias("dir"))
@@ -151,8 +156,9 @@ def build(files: DataFrame, stage) -> Graph:
     return Graph(symbols, edges, f)
 
 
-DATA = ("**/*.{json,yml,yaml,toml,ini,cfg,xml,plist,properties}",)
-LOCKS = ("**/{package-lock,composer.lock,pnpm-lock,yarn.lock}*", "**/tsconfig*.json")
+DATA = ("**/*.{json,yml,yaml,toml,ini,cfg,xml,properties,plist,storyboard,xib}",)
+LOCKS = ("**/{package-lock.json,pnpm-lock.yaml,yarn.lock,composer.lock,coverage-final.json}", "**/tsconfig*.json")
+#: Fixed value: larger data files name nothing.
 MAX_DATA_BYTES = 256 << 10
 
 
@@ -163,5 +169,5 @@ def data_names(files: DataFrame) -> DataFrame:
     or underscore after the first.
     """
     small = files.where((F.octet_length("content") <= MAX_DATA_BYTES) & F.col("file").rlike("|".join(map(glob_regex, DATA))) & ~F.col("file").rlike("|".join(map(glob_regex, LOCKS))))
-    names = small.select("file", F.explode(F.regexp_extract_all("content", F.lit(r"[A-Za-z_][A-Za-z0-9_]{3,}"), F.lit(0))).alias("name"))
+    names = small.select("file", F.explode(F.regexp_extract_all("content", F.lit(r"[A-Za-z_$][A-Za-z0-9_$]{3,}"), F.lit(0))).alias("name"))
     return names.where(F.substring("name", F.lit(2), F.length("name")).rlike("[A-Z_]")).groupBy("name").agg(F.min("file").alias("file"))

@@ -3,13 +3,30 @@
 from __future__ import annotations
 
 import ast
+import io
 import re
 import textwrap
+import tokenize
+
+from graphloom.sources.brace_facts import note_above
 
 STUB = re.compile(r"not[\s_-]*implemented|unimplemented", re.I)
 MARK = re.compile(r"\b(TODO|FIXME|XXX)\b")
 
 
+def uncommented(text: str) -> str:
+    """The text without its comments; lines stay. As it is where tokens can't be told."""
+    lines = text.splitlines(keepends=True)
+    try:
+        for t in tokenize.generate_tokens(io.StringIO(text).readline):
+            if t.type == tokenize.COMMENT:
+                row, at = t.start
+                lines[row - 1] = lines[row - 1][:at] + " " * len(t.string) + lines[row - 1][at + len(t.string) :]
+    except (tokenize.TokenError, SyntaxError, IndexError):
+        return text
+    return "".join(lines)
+
+
 def facts(path: str, text: str) -> list[tuple]:
     """(table, file, line, a, b, c, d) facts; a file that does not parse gives one ``unparsed`` fact."""
     out: list[tuple] = []
@@ -23,6 +40,7 @@ def facts(path: str, text: str) -> list[tuple]:
                 add("decl", i, m[2], "", "class" if m[1] == "class" else "function", str(i))
         return out
     lines = text.split("\n")
+    add("text", 1, uncommented(text))
 
     def body_of(node) -> str:
         inner = node.body
@@ -35,7 +53,9 @@ def facts(path: str, text: str) -> list[tuple]:
             if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 kind = "method" if container else "function"
                 add("decl", n.lineno, n.name, container, kind, str(n.end_lineno))
-                add("body", n.lineno, n.name, container, body_of(n))
+                add("body", n.lineno, n.name, container, body_of(n), ast.unparse(n))
+                if note := note_above(lines, min([n.lineno, *(d.lineno for d in n.decorator_list)])):
+                    add("note", n.lineno, n.name, container, note)
                 for d in n.decorator_list:
                     add("decorator", n.lineno, n.name, container, ast.unparse(d.func if isinstance(d, ast.Call) else d))
                 stub(n, container)

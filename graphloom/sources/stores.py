@@ -71,7 +71,7 @@ def write_history(root: str, points: dict[str, dict]) -> None:
 class Config:
     """Settings of a scan: defaults, then what the manifests say, then the project's own file."""
 
-    include: tuple[str, ...] = ("**/*.{ts,tsx,js,jsx,mjs,cjs,py,go,swift,mdx,vue,svelte,astro,html}",)
+    include: tuple[str, ...] = ("**/*.{ts,tsx,js,jsx,mjs,cjs,mts,cts,py,go,swift,mdx,md,vue,svelte,astro,html}",)
     exclude: tuple[str, ...] = ()
     entry: tuple[str, ...] = ()
     public: tuple[str, ...] = ()

@@ -49,7 +49,7 @@ def test_drift(spark):
     files["src/g.ts"] = "export function g() { return load(1).then(show); }\n"
     g, _ = graph_of(spark, files)
     got = {(r.category, r.dialect): r for r in settings.dialect_drift(g).collect()}
-    assert got["async", "then"].n == 1 and got["async", "then"].score == 0.8 and got["async", "await"].rank == 1
+    assert got["async", "promise chain"].n == 1 and got["async", "promise chain"].score == 0.8 and got["async", "async/await"].rank == 1
 
 
 def test_concepts_partition_all_symbols(spark):
