@@ -31,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
 #: A plan that ends in more tasks than this a core, and than there are pieces of
 #: this size in its inputs, is written in fewer: a file costs a store several
 #: calls, and a local one several processes.
-FILES_PER_CORE, FILE_BYTES = 4, 8 << 20
+FILES_PER_CORE, FILE_BYTES = 2, 32 << 20
 
 
 def input_bytes(df: DataFrame) -> int:
