@@ -74,7 +74,8 @@ def rank(findings: DataFrame, limit: int = 20) -> DataFrame:
 
 def headline(findings: DataFrame) -> DataFrame:
     """One row: confident dead and duplicate lines, drift and contradiction counts, unfinished."""
-    at = lambda kind: (F.col("kind") == kind) & (F.col("score") >= FLOOR)
+    kinds = {"dead": ("dead", "orphan-file")}
+    at = lambda kind: F.col("kind").isin(*kinds.get(kind, (kind,))) & (F.col("score") >= FLOOR)
     total = lambda kind: F.coalesce(F.sum(F.when(at(kind), F.col("loc"))), F.lit(0)).cast("long")
     return findings.agg(
         total("dead").alias("dead_loc"),

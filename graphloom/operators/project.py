@@ -23,14 +23,17 @@ class Scan:
     findings: DataFrame
     directives: DataFrame
     stats: dict
+    #: Whether an entry or public glob means a file; without one nothing is called dead.
+    has_entry: bool = True
 
 
-def findings_of(g: code.Graph, stage: Stage, config: stores.Config, coverage: DataFrame | None = None, data: DataFrame | None = None) -> DataFrame:
+def findings_of(g: code.Graph, stage: Stage, config: stores.Config, files: DataFrame, coverage: DataFrame | None = None, data: DataFrame | None = None) -> DataFrame:
     """(id, kind, title, file, line, loc, score) of all analyses."""
-    rules = (*dead.RULES, *(dead.Rule(r["name"], tuple(r.get("decorators", ())), tuple(r.get("names", ())), tuple(r.get("files", ()))) for r in config.rules))
+    own = tuple(dead.Rule(r["name"], *(tuple(r.get(k, ())) for k in ("packages", "decorators", "names", "files", "symbols"))) for r in config.rules)
+    rules = dead.active_rules(config.dependencies, own)
+    entry = (*config.entry, *(g for r in rules for g in r.files))
     cols = ("id", "kind", "title", "file", "line", "loc", "score")
-    gone = stage.cut(dead.find_dead(g, stage, config.entry, config.public, coverage, data, rules))
-    own = gone.select(F.concat(F.lit("dead:"), "id").alias("id"), F.lit("dead").alias("kind"), F.concat("name", F.lit(" is not reachable")).alias("title"), "file", "line", "loc", "score")
+    gone = dead.findings(g, stage, files, entry, config.public, coverage, data, rules)
     dup = dupes.find_duplicates(g, stage, config.threshold, config.min_loc).join(g.symbols.select(F.col("id").alias("root"), "file", "line"), "root")
     dup = dup.select(F.concat(F.lit("duplicate:"), "root").alias("id"), F.lit("duplicate").alias("kind"), F.concat(F.col("members").cast("string"), F.lit(" versions of one thing")).alias("title"), "file", "line", F.col("removable").cast("int").alias("loc"), "score")
     con = settings.contradictions(g).select(
@@ -43,7 +46,7 @@ def findings_of(g: code.Graph, stage: Stage, config: stores.Config, coverage: Da
     )
     todo = settings.stubs(g).select(F.concat_ws(":", F.lit("unfinished"), "file", "name").alias("id"), F.lit("unfinished").alias("kind"), F.concat("name", F.lit(" is not implemented")).alias("title"), "file", "line", F.lit(1).alias("loc"), "score")
     never = settings.unset_state(g).select(F.concat_ws(":", F.lit("unfinished"), "file", "name").alias("id"), F.lit("unfinished").alias("kind"), F.concat("name", F.lit(" is never set")).alias("title"), "file", "line", F.lit(1).alias("loc"), "score")
-    out = own.select(*cols)
+    out = gone.select(*cols)
     for part in (dup, con, dri, todo, never):
         out = out.unionByName(part.select(*cols))
     return stage.cut(out)
@@ -53,17 +56,18 @@ def scan(spark: SparkSession, root: str, coverage: tuple[str, ...] = ()) -> Scan
     """Everything about the project under ``root``."""
     stage, config = Stage(spark), stores.load_config(root)
     files = stage.cut(code.scan(spark, root, config.include, (*code.EXCLUDE, *config.exclude)))
-    g = code.build(files, stage)
+    g = code.build(files, stage, stores.aliases(root))
     data = stage.cut(code.data_names(code.scan(spark, root, code.DATA, (*code.EXCLUDE, *config.exclude))))
-    found = findings_of(g, stage, config, read_coverage(spark, root, coverage) if coverage else None, data)
+    found = findings_of(g, stage, config, files, read_coverage(spark, root, coverage) if coverage else None, data)
     given = stage.cut(ignores.directives(files))
     left, given = ignores.apply(found, given)
-    hidden = sorted(stores.dismissed(root))  # a project's own list
-    left = left.where(~F.col("id").isin(*hidden)) if hidden else left
+    hidden = spark.createDataFrame([(x,) for x in sorted(stores.dismissed(root))], "id string")
+    left = left.join(hidden, "id", "left_anti")
     left = stage.cut(left)
     head = compare.headline(left).first().asDict()
     sizes = g.symbols.agg(F.countDistinct("file").alias("files"), F.count_if(F.col("kind") != "module").alias("symbols"), F.coalesce(F.sum("loc"), F.lit(0)).alias("loc")).first().asDict()
-    return Scan(g, left, given, {**sizes, "edges": g.edges.count(), **head})
+    rooted = dead.has_entry(files, (*config.entry, *(x for r in dead.active_rules(config.dependencies) for x in r.files)), config.public)
+    return Scan(g, left, given, {**sizes, "edges": g.edges.count(), **head}, rooted)
 
 
 def worklist(s: Scan, limit: int = 20) -> DataFrame:

@@ -62,8 +62,22 @@ class Graph:
     facts: DataFrame
 
 
-def build(files: DataFrame, stage) -> Graph:
-    """Symbols and edges of (file, content)."""
+def _meant(spec: Column, aliases: list[tuple[str, str]]) -> Column:
+    """A specifier with the longest alias it begins with replaced by what that means."""
+    out = spec
+    for prefix, folder in reversed(aliases):  # longest first, so the longest is asked first
+        rest = F.substring(spec, F.lit(len(prefix) + 1), F.length(spec))
+        whole = F.concat(F.lit(folder), F.when((rest != "") & ~rest.startswith("/") & F.lit(folder != "") & F.lit(not folder.endswith("/")), F.concat(F.lit("/"), rest)).otherwise(rest))
+        fits = spec.startswith(prefix) if prefix.endswith("/") else (spec == prefix) | spec.startswith(f"{prefix}/")
+        out = F.when(fits, whole).otherwise(out)
+    return out
+
+
+def build(files: DataFrame, stage, aliases: list[tuple[str, str]] = ()) -> Graph:
+    """Symbols and edges of (file, content).
+
+    ``aliases``: (prefix, folder) that specifiers begin with, see ``stores.aliases``.
+    """
     f = stage.cut(facts(files).withColumn("lang", _lang(F.col("file"))))
     of = lambda tab: f.where(F.col("tab") == tab)
     sid = lambda file, name: F.concat(file, F.lit("#"), F.when(name == "", "<module>").otherwise(name))
@@ -94,7 +108,7 @@ def build(files: DataFrame, stage) -> Graph:
     up = F.array_join(F.slice(F.split(_dir(F.col("file")), "/"), 1, F.greatest(F.size(F.split(_dir(F.col("file")), "/")) - F.greatest(dots - 1, F.lit(0)), F.lit(0))), "/")
     py = F.when(dots > 0, F.concat_ws("/", F.when(up != "", up), F.when(dotted != "", dotted))).otherwise(dotted)
     joined = F.concat_ws("/", F.when(_dir(F.col("file")) != "", _dir(F.col("file"))), F.col("spec"))
-    target = F.when(F.col("lang") == "py", py).when(F.col("spec").startswith("."), joined).otherwise(F.col("spec"))
+    target = F.when(F.col("lang") == "py", py).when(F.col("spec").startswith("."), joined).otherwise(_meant(F.col("spec"), list(aliases)))
     target = F.regexp_replace(target, r"(^|/)\./", "$1")
     for _ in range(6):
         target = F.regexp_replace(target, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import glob as globbing
 import json
 import os
+import re
 import time
+import tomllib
 from dataclasses import dataclass, field
 
 FOLDER = ".graphloom"
@@ -79,38 +82,141 @@ class Config:
     min_loc: int = 4
     max_findings: int = 20
     rules: list[dict] = field(default_factory=list)
+    #: Lower-case names of what the manifests depend on.
+    dependencies: set[str] = field(default_factory=set)
+
+
+def _json(path: str) -> dict:
+    """A JSON object, comments and trailing commas allowed; empty if there is none."""
+    try:
+        with open(path) as f:
+            text = f.read()
+    except OSError:
+        return {}
+    bare = re.sub(r'("(?:[^"\\]|\\.)*")|//[^\n]*|/\*[\s\S]*?\*/', lambda m: m[1] or "", text)
+    for clean in (text, re.sub(r",(\s*[}\]])", r"\1", bare)):
+        try:
+            got = json.loads(clean)
+            return got if isinstance(got, dict) else {}
+        except ValueError:
+            continue
+    return {}
+
+
+def workspace_dirs(root: str) -> list[str]:
+    """Folders of the workspaces that the package.json or pnpm-workspace.yaml of a root names."""
+    named = _json(os.path.join(root, "package.json")).get("workspaces") or []
+    globs = list(named.get("packages", [])) if isinstance(named, dict) else list(named)
+    try:
+        with open(os.path.join(root, "pnpm-workspace.yaml")) as f:
+            globs += re.findall(r"(?m)^\s*-\s*['\"]?([^'\"#\n]+?)['\"]?\s*$", f.read())
+    except OSError:
+        pass
+    found = {os.path.relpath(d, root) for g in globs if not g.startswith("!") for d in globbing.glob(os.path.join(root, g)) if os.path.isfile(os.path.join(d, "package.json"))}
+    return sorted(found)
+
+
+def _flat(x) -> list[str]:
+    return [x] if isinstance(x, str) else [y for v in (x.values() if isinstance(x, dict) else x or []) for y in _flat(v)]
+
+
+def _source(root: str, path: str) -> str | None:
+    """The source file that a manifest's path, perhaps a build output, stands for."""
+    stem = os.path.splitext(path.removeprefix("./"))[0]
+    for s in (stem, *(stem.replace(f"{d}/", "src/", 1) for d in ("dist", "lib", "build", "out"))):
+        for e in (".ts", ".tsx", ".js", ".mjs", ".cjs", ".mts", ".cts", "/index.ts", "/index.js"):
+            if os.path.isfile(os.path.join(root, s + e)):
+                return s + e
+    return None
 
 
 def package_entries(root: str) -> tuple[list[str], list[str]]:
-    """(entries, public) of package.json: build outputs are looked for among sources."""
+    """(entries, public) of package.json, those of its workspaces too."""
+    entries, public = [], []
+    for folder in (".", *workspace_dirs(root)):
+        at, front = os.path.join(root, folder), "" if folder == "." else f"{folder}/"
+        pkg = _json(os.path.join(at, "package.json"))
+        scripts = [w for s in (pkg.get("scripts") or {}).values() for w in str(s).split() if w.endswith((".ts", ".js", ".mjs"))]
+        entries += [front + p for x in _flat(pkg.get("bin")) + scripts if (p := _source(at, x))]
+        public += [front + p for k in ("main", "module", "browser", "exports") for x in _flat(pkg.get(k)) if (p := _source(at, x))]
+    return entries, public
+
+
+def framework_entries(root: str) -> list[str]:
+    """Files that manifests other than package.json start: workers, routes, Python scripts and tools."""
+    found: list[str] = []
+    for name in ("wrangler.toml", "wrangler.json", "wrangler.jsonc"):
+        try:
+            with open(os.path.join(root, name)) as f:
+                found += re.findall(r"""(?m)^\s*"?main"?\s*[=:]\s*["']([^"']+)["']""", f.read())
+        except OSError:
+            continue
+    found = [p for x in found if (p := _source(root, x))]
+    for name in ("react-router.config", "remix.config"):
+        if any(os.path.isfile(os.path.join(root, name + e)) for e in (".ts", ".js", ".mjs")):
+            found += ["app/root.{ts,tsx,js,jsx}", "app/routes.{ts,js}", "app/routes/**", "app/entry.{client,server}.{ts,tsx,js,jsx}"]
     try:
-        with open(os.path.join(root, "package.json")) as f:
-            pkg = json.load(f)
+        with open(os.path.join(root, "pyproject.toml"), "rb") as f:
+            project = tomllib.load(f)
     except (OSError, ValueError):
-        return [], []
-
-    def flat(x) -> list[str]:
-        return [x] if isinstance(x, str) else [y for v in (x.values() if isinstance(x, dict) else x or []) for y in flat(v)]
-
-    def source(path: str) -> str | None:
-        path = path.removeprefix("./")
-        stem = os.path.splitext(path)[0]
-        for s in (stem, *(stem.replace(f"{d}/", "src/", 1) for d in ("dist", "lib", "build", "out"))):
-            for e in (".ts", ".tsx", ".js", ".mjs", ".cjs", "/index.ts", "/index.js"):
-                if os.path.isfile(os.path.join(root, s + e)):
-                    return s + e
-        return None
-
-    scripts = [w for s in (pkg.get("scripts") or {}).values() for w in str(s).split() if w.endswith((".ts", ".js", ".mjs"))]
-    entries = [p for x in flat(pkg.get("bin")) + scripts if (p := source(x))]
-    public = [p for k in ("main", "module", "browser", "exports") for x in flat(pkg.get(k)) if (p := source(x))]
-    return entries, public
+        project = {}
+    tables = [project.get("project", {}).get(k, {}) for k in ("scripts", "gui-scripts")] + [project.get("tool", {}).get("poetry", {}).get("scripts", {})]
+    for target in (v for t in tables for v in t.values() if isinstance(v, str)):
+        path = target.split(":")[0].replace(".", "/")
+        found += [p for front in ("", "src/") for p in (f"{front}{path}.py", f"{front}{path}/__init__.py") if os.path.isfile(os.path.join(root, p))]
+    found += [x for x in ("manage.py", "setup.py", "conftest.py", "wsgi.py", "asgi.py") if os.path.isfile(os.path.join(root, x))]
+    return found
+
+
+def dependencies(root: str) -> set[str]:
+    """Lower-case names of declared dependencies, from every manifest; only presence matters."""
+    out: set[str] = set()
+    for folder in (".", *workspace_dirs(root)):
+        pkg = _json(os.path.join(root, folder, "package.json"))
+        for part in ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies"):
+            out |= {x.lower() for x in (pkg.get(part) or {})}
+    top = [x for x in (os.listdir(root) if os.path.isdir(root) else []) if not x.startswith(".")]
+    below = [y for x in top if os.path.isdir(os.path.join(root, x)) for y in os.listdir(os.path.join(root, x))]
+    if "Package.swift" in top or any(x.endswith((".xcodeproj", ".xcworkspace")) for x in top) or any(x.endswith(".xcodeproj") for x in below):
+        out.add("swift")
+    for name in ("requirements.txt", "requirements-dev.txt", "requirements/base.txt", "pyproject.toml", "setup.py", "setup.cfg", "Pipfile"):
+        try:
+            with open(os.path.join(root, name)) as f:
+                out |= {x.lower() for x in re.findall(r"""(?m)(?:^|["'\s,\[])([A-Za-z][\w.-]*)\s*(?:\[[^\]]*\])?\s*(?=[<>=!~;"',\]\s]|$)""", f.read())}
+        except OSError:
+            continue
+    return out
+
+
+def aliases(root: str) -> list[tuple[str, str]]:
+    """(prefix, folder): what import specifiers mean by tsconfig paths, subpath imports, workspaces and go.mod."""
+    found: list[tuple[str, str]] = []
+    for name in ("tsconfig.json", "jsconfig.json"):
+        options = _json(os.path.join(root, name)).get("compilerOptions") or {}
+        base = os.path.normpath(options.get("baseUrl", "."))
+        for spec, targets in (options.get("paths") or {}).items():
+            found += [(spec.removesuffix("*"), os.path.normpath(os.path.join(base, t.removesuffix("*")))) for t in targets[:1]]
+    pkg = _json(os.path.join(root, "package.json"))
+    for spec, target in (pkg.get("imports") or {}).items():
+        found += [(spec.removesuffix("*"), os.path.normpath(t.removesuffix("*").removesuffix(".js"))) for t in _flat(target)[:1]]
+    for folder in workspace_dirs(root):
+        own = _json(os.path.join(root, folder, "package.json"))
+        if own.get("name"):
+            shown = next((p for k in ("source", "module", "main", "exports") for x in _flat(own.get(k)) if (p := _source(os.path.join(root, folder), x))), None)
+            found.append((own["name"], f"{folder}/{os.path.splitext(shown)[0]}" if shown else folder))
+    try:
+        with open(os.path.join(root, "go.mod")) as f:
+            module = re.search(r"(?m)^module\s+(\S+)", f.read())
+        found += [(f"{module[1]}/", "")] if module else []
+    except OSError:
+        pass
+    return sorted({(a, "" if b == "." else b) for a, b in found}, key=lambda x: (-len(x[0]), x))
 
 
 def load_config(root: str) -> Config:
     """The first of ``graphloom.json`` and ``.graphloom/config.json``; excludes add up, others replace."""
     entry, public = package_entries(root)
-    c = Config(entry=tuple(entry), public=tuple(public))
+    c = Config(entry=(*entry, *framework_entries(root)), public=tuple(public), dependencies=dependencies(root))
     for name in ("graphloom.json", f"{FOLDER}/config.json"):
         try:
             with open(os.path.join(root, name)) as f:

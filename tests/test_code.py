@@ -2,9 +2,9 @@
 
 import pytest
 
-from graphloom.operators.dead import find_dead
+from graphloom.operators.dead import active_rules, find_dead, findings, has_entry
 from graphloom.plans.staging import Stage
-from graphloom.sources import brace_facts, code, python_facts
+from graphloom.sources import brace_facts, code, python_facts, stores
 
 PY = {
     "app/main.py": "from .helpers import format_duration\nfrom . import store\n\nclass Job:\n    def run(self):\n        return self.step()\n    def step(self):\n        return format_duration(3)\n    def unused_method(self):\n        return 1\n\nif __name__ == '__main__':\n    Job().run()\n    store.save(1)\n",
@@ -106,3 +106,62 @@ def test_computed_imports_and_names_in_data(spark):
     assert [tuple(r) for r in data.collect()] == [("NightlyJob", "a.yml")]
     got = {r.name: r.score for r in find_dead(g, stage, data_names=data).collect()}
     assert set(got) == {"hidden", "NightlyJob", "run"} and got["NightlyJob"] <= 0.45 < got["hidden"]
+
+
+def test_no_entry_says_nothing(spark):
+    files = {"src/a.ts": "export function one() {\n  return 1;\n}\n"}
+    g, stage = graph_of(spark, files)
+    df = spark.createDataFrame(list(files.items()), "file string, content string")
+    assert findings(g, stage, df).count() == 0 and not has_entry(df, ("src/main.ts",), ())
+    assert [r.id for r in findings(g, stage, df, entry=("src/a.ts", "x")).collect()] == []
+    assert findings(g, stage, df, entry=("other.ts",)).count() == 0
+
+
+def test_orphan_files_doubt_and_rules(spark):
+    files = {
+        "src/main.ts": "import { go } from './lib';\ngo();\n",
+        "src/lib.ts": "export function go() { return 1; }\nexport function alone() {\n  return 2;\n}\n",
+        "src/old.ts": "export function left() {\n  return right();\n}\nfunction right() {\n  return 3;\n}\n",
+        "src/named.ts": "export class NightlyJob extends Base {\n  run() { return 1; }\n}\nclass Base {\n  help() { return 2; }\n}\nexport function sure() {\n  return 4;\n}\n",
+        "src/cats.ts": "@Controller('cats')\nexport class Cats {\n  @Get()\n  list() { return listed(); }\n}\nfunction listed() { return 5; }\n",
+        "src/api.ts": "export class Shown {\n  open() { return 1; }\n  _own() { return 2; }\n}\n",
+    }
+    g, stage = graph_of(spark, files)
+    df = spark.createDataFrame(list(files.items()), "file string, content string")
+    data = spark.createDataFrame([("NightlyJob", "jobs.yml")], "name string, file string")
+    args = dict(entry=("src/main.ts",), public=("src/api.ts",), data_names=data)
+    got = {r.id: r for r in findings(g, stage, df, **args, rules=active_rules({"@nestjs/core"})).collect()}
+    assert {i for i in got if i.startswith("orphan")} == {"orphan-file:src/old.ts"} and got["orphan-file:src/old.ts"].loc == 7
+    names_of = {i.split("#")[-1]: r for i, r in got.items()}
+    assert {"alone", "NightlyJob", "NightlyJob.run", "sure"} <= set(names_of) and not {"left", "Cats", "Cats.list", "listed", "Shown.open"} & set(names_of)
+    assert names_of["NightlyJob"].score <= 0.45 and "by name" in names_of["Base"].title and names_of["sure"].score >= 0.6
+    off = {r.id for r in findings(g, stage, df, **args, rules=active_rules(set())).collect()}
+    assert "orphan-file:src/cats.ts" in off
+
+
+def test_aliases_and_manifests(spark, tmp_path):
+    made = {
+        "tsconfig.json": '{\n  // paths\n  "compilerOptions": {"baseUrl": ".", "paths": {"@lib/*": ["src/lib/*"]},},\n}',
+        "package.json": '{"workspaces": ["packages/*"], "dependencies": {"React": "1"}, "imports": {"#tools/*": "./src/tools/*"}}',
+        "packages/core/package.json": '{"name": "@x/core", "main": "src/index.ts", "devDependencies": {"next": "1"}}',
+        "packages/core/src/index.ts": "export function core() { return 1; }\n",
+        "go.mod": "module example.com/x\n",
+        "pyproject.toml": '[project]\nname = "p"\ndependencies = ["Flask>=2", "celery[redis]"]\n[project.scripts]\nrun = "app.cli:main"\n',
+        "app/cli.py": "def main():\n    return 1\n",
+        "wrangler.toml": 'main = "src/worker.ts"\n',
+        "src/worker.ts": "import { a } from '@lib/a';\nimport { t } from '#tools/t';\nimport { core } from '@x/core';\nexport default { fetch() { return a() + t() + core(); } };\n",
+        "src/lib/a.ts": "export function a() { return 1; }\n",
+        "src/tools/t.ts": "export function t() { return 1; }\n",
+    }
+    for k, v in made.items():
+        (tmp_path / k).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / k).write_text(v)
+    root = str(tmp_path)
+    c = stores.load_config(root)
+    assert {"react", "next", "flask", "celery"} <= c.dependencies and set(c.entry) >= {"src/worker.ts", "app/cli.py"} and c.public == ("packages/core/src/index.ts",)
+    assert {r.name for r in active_rules(c.dependencies)} == {"react", "next", "flask", "celery"}
+    files = {k: v for k, v in made.items() if k.endswith((".ts", ".py"))}
+    stage = Stage(spark)
+    g = code.build(spark.createDataFrame(list(files.items()), "file string, content string"), stage, stores.aliases(root))
+    links = {(r.src, r.dst) for r in g.edges.where("kind = 'imports'").collect()}
+    assert {("src/worker.ts#<module>", f"{f}#<module>") for f in ("src/lib/a.ts", "src/tools/t.ts", "packages/core/src/index.ts")} <= links

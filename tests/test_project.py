@@ -13,7 +13,8 @@ from graphloom.streaming.watch import watch
 CODE = {
     "src/index.ts": "import { used } from './lib';\nused();\n",
     "src/lib.ts": "export function used() { return 1; }\n\n// graphloom-ignore dead: loaded by path\nexport function loaded() { return 2; }\n\n// graphloom-ignore dead\nexport function noReason() { return 3; }\n\n// graphloom-ignore unfinished: wrong kind\nexport function reallyDead() {\n  return 4;\n}\n",
-    "jobs/tasks.py": "def hourly():  # graphloom-ignore dead: cron calls it\n    return 1\n\n\ndef export_pdf():\n    raise NotImplementedError\n",
+    "jobs/tasks.py": "def hourly():  # graphloom-ignore dead: cron calls it\n    return 1\n\n\ndef export_pdf():\n    raise NotImplementedError\n\n\ndef start():\n    return 2\n\n\nif __name__ == '__main__':\n    start()\n",
+    "package.json": "{\"scripts\": {\"start\": \"node src/index.ts\"}}",
 }
 
 
