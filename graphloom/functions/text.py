@@ -120,6 +120,15 @@ def glob_regex(glob: str) -> str:
     return rf"\A{out}\z"
 
 
+SCRIPT = r"(?is)<script(?:\s[^>]*)?>(.*?)</script\s*>"
+
+
+def script_bodies(pages, html: str):
+    """The other columns of ``pages`` with (place, body): what stands in the script tags of a page."""
+    kept = [c for c in pages.columns if c != html]
+    return pages.select(*kept, F.posexplode(F.regexp_extract_all(html, F.lit(SCRIPT), F.lit(1))).alias("place", "body"))
+
+
 def round2(x: Column) -> Column:
     """Two decimals, halves of the binary value upwards."""
     return F.floor(x * 100 + 0.5) / 100

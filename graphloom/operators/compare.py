@@ -111,3 +111,21 @@ def apply_ignores(findings: DataFrame, directives: DataFrame, groups: tuple[str,
     grouped = F.col("kind").isin(*groups)
     keep = F.when(grouped, F.col("left") >= F.least(F.lit(2), F.col("members"))).otherwise(F.col("left") == F.col("members"))
     return summed.where(keep).select("id", "kind", F.col("left").alias("members"), "loc")
+
+
+def headline_delta(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: by how much each headline number of the findings fell."""
+    a, b = headline(before), headline(after)
+    both = a.select(*[F.col(m).alias(f"a_{m}") for m in METRICS]).crossJoin(b)  # one row each
+    return both.select(*[(F.col(f"a_{m}") - F.col(m)).alias(m) for m in METRICS])
+
+
+def trend_summary(points: DataFrame) -> DataFrame:
+    """(metric, first, last, delta) of points (metric, at, value)."""
+    first, last = F.min_by("value", "at"), F.max_by("value", "at")
+    return points.groupBy("metric").agg(first.alias("first"), last.alias("last"), round2(last - first).alias("delta"))
+
+
+def undismissed(findings: DataFrame, dismissed: DataFrame) -> DataFrame:
+    """Findings whose id (dismissed: id) nobody set aside."""
+    return findings.join(dismissed.select("id").distinct(), "id", "left_anti")

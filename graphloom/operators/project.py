@@ -62,7 +62,7 @@ def scan(spark: SparkSession, root: str, coverage: tuple[str, ...] = ()) -> Scan
     given = stage.cut(ignores.directives(files))
     left, given = ignores.apply(found, given)
     hidden = spark.createDataFrame([(x,) for x in sorted(stores.dismissed(root))], "id string")
-    left = left.join(hidden, "id", "left_anti")
+    left = compare.undismissed(left, hidden)
     left = stage.cut(left)
     head = compare.headline(left).first().asDict()
     sizes = g.symbols.agg(F.countDistinct("file").alias("files"), F.count_if(F.col("kind") != "module").alias("symbols"), F.coalesce(F.sum("loc"), F.lit(0)).alias("loc")).first().asDict()

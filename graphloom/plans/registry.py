@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
-from graphloom.operators import compare, concepts, graph, similar, spans
+from graphloom.operators import compare, concepts, graph, lookup, similar, spans
 from graphloom.plans.staging import Stage
 from graphloom.sources import tables as S
 from graphloom.sources.tables import EDGES_SQL, FINDINGS_SQL, RANGES_SQL, SITES_SQL, SYMBOLS_SQL, key, table
@@ -137,9 +137,8 @@ WHERE p_size >= 4 ORDER BY weight DESC, id LIMIT 50"""
 )
 def load_bearing(spark, sf):
     """The parts that most depends on: callers times log of size (a top-50 report)."""
-    parts = table(spark, sf, "part").where("p_size >= 4").select(key("p", "p_partkey").alias("id"), "p_size")
-    n = graph.caller_counts(S.edges(spark, sf)).select("id", "callers").join(parts, "id")
-    return n.select("id", "callers", T.round2(F.col("callers") * F.log2(F.col("p_size") + 2)).alias("weight")).orderBy(F.desc("weight"), "id").limit(50)
+    parts = table(spark, sf, "part").select(key("p", "p_partkey").alias("id"), F.col("p_size").alias("loc"))
+    return lookup.load_bearing(parts, S.edges(spark, sf))
 
 
 @query(
@@ -161,15 +160,18 @@ FROM events e JOIN supplier s ON e.user_id % 25 = s.s_nationkey GROUP BY 1"""
 )
 def name_many_to_many(spark, sf):
     """Unresolved calls reach every method of the name."""
-    refs = table(spark, sf, "events").select(F.col("event_type").alias("name"), "user_id", (F.col("user_id") % 25).cast("int").alias("k"))
-    methods = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k"), "s_suppkey")
-    hit = refs.join(methods, "k")
-    return hit.groupBy("name").agg(F.count("*").alias("refs"), F.countDistinct(F.concat_ws(":", "user_id", "s_suppkey")).alias("pairs"))
+    refs = table(spark, sf, "events").select(F.col("event_type").alias("kind"), F.col("user_id").alias("src"), (F.col("user_id") % 25).cast("int").alias("name"))
+    methods = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("name"), F.col("s_suppkey").alias("dst"))
+    hit = graph.name_edges(refs, methods)
+    return hit.groupBy(F.col("kind").alias("name")).agg(F.sum("n").alias("refs"), F.countDistinct("src", "dst").alias("pairs"))
 
 
 # -- text ----------------------------------------------------------------------
 
-STEM_SQL = "list_transform(list_filter(string_split_regex(lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: CASE WHEN w = 'num' THEN 'number' WHEN regexp_matches(w, 'ing$') AND length(w) > 5 THEN left(w, -3) WHEN regexp_matches(w, 'ed$') AND length(w) > 4 THEN left(w, -2) WHEN regexp_matches(w, '[^s]s$') AND length(w) > 3 THEN left(w, -1) ELSE w END)"
+_SHORT = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in T.SHORT.items()) + "}"
+_CUT = "CASE WHEN regexp_matches(w, 'ing$') AND length(w) > 5 THEN left(w, -3) WHEN regexp_matches(w, 'ed$') AND length(w) > 4 THEN left(w, -2) WHEN regexp_matches(w, '[^s]s$') AND length(w) > 3 THEN left(w, -1) ELSE w END"
+STEM_SQL = f"list_transform(list_filter(string_split_regex(lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: coalesce({_SHORT}[w], {_SHORT}[{_CUT}], {_CUT}))"
+STOP_SQL = ", ".join(f"'{w}'" for w in T.STOP)
 
 
 @query(
@@ -201,15 +203,14 @@ def token_counts(spark, sf):
 )
 def shingle_top(spark, sf):
     """The commonest word 4-grams (a top-100 report)."""
-    d = table(spark, sf, "documents").select(T.words(F.col("text")).alias("w"))
-    return d.select(F.explode(T.shingles(F.col("w"), 4)).alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "shingle").limit(100)
+    return similar.common_shingles(table(spark, sf, "documents").select(T.words(F.col("text")).alias("w")), 4, 100)
 
 
 BAG_SQL = f"""{SYMBOLS_SQL}, bag AS (
   SELECT id, term, sum(w)::BIGINT AS w FROM (
     SELECT id, unnest(regexp_extract_all(lower(name), '[\\p{{L}}\\p{{N}}_]+')) AS term, 3 AS w FROM symbols
     UNION ALL SELECT id, unnest(regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}_]+')), 1 FROM symbols)
-  WHERE length(term) >= 2 AND term NOT IN ('the', 'of', 'and', 'to', 'in', 'is', 'for', 'get', 'set', 'new', 'return') GROUP BY 1, 2)"""
+  WHERE length(term) >= 2 AND term NOT IN ({STOP_SQL}) GROUP BY 1, 2)"""
 
 
 @query(f"WITH {BAG_SQL} SELECT term, count(*) AS docs, sum(w)::BIGINT AS weight FROM bag GROUP BY term")
@@ -222,8 +223,7 @@ def vocab_bag(spark, sf):
 def doc_frequency(spark, sf):
     """In how many files a word is used."""
     sym = S.symbols(spark, sf)
-    df = similar.weighted_bags(sym).join(sym.select("id", "file"), "id").groupBy("term").agg(F.countDistinct("file").alias("df"))
-    return df.where("df >= 2")
+    return lookup.document_frequency(similar.weighted_bags(sym), sym)
 
 
 @query(
@@ -236,12 +236,10 @@ SELECT lang, term, score, row_number() OVER (PARTITION BY lang ORDER BY score DE
 def tfidf_top2(spark, sf):
     """Distinctive names: the two best words of each group by size-weighted TF-IDF."""
     sym = S.symbols(spark, sf)
+    # each row's part of the sum is rounded, so that its order does not matter
     tf = similar.weighted_bags(sym).join(sym.select("id", "lang", "loc"), "id").groupBy("lang", "term").agg(F.sum(F.round(F.log2(F.col("loc") + 2) * 1000000).cast("long")).alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    total = tf.agg(F.countDistinct("lang").alias("groups"))
-    scored = tf.join(df, "term").crossJoin(total).select("lang", "term", T.round2(F.col("tf") / 1000000.0 * F.log(F.col("groups") / F.col("df") + 1)).alias("score"))  # one row
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), "term")
-    return scored.withColumn("place", F.row_number().over(best)).where("place <= 2").select("lang", "term", "score", F.col("place").cast("long").alias("place"))
+    best = lookup.distinctive(Stage(spark).cut(tf.select(F.col("lang").alias("grp"), "term", (F.col("tf") / 1000000.0).alias("tf"))))
+    return best.select(F.col("grp").alias("lang"), "term", "score", F.col("place").cast("long").alias("place"))
 
 
 PAIRS_SQL = f"""{SYMBOLS_SQL}, bag AS (
@@ -400,9 +398,7 @@ SELECT a.dead_loc - b.dead_loc AS dead_loc, a.duplicate_loc - b.duplicate_loc AS
 )
 def headline_delta(spark, sf):
     """What dismissals took off the headline."""
-    a, b = compare.headline(S.findings(spark, sf)), compare.headline(_kept(spark, sf))
-    both = a.select(*[F.col(m).alias(f"a_{m}") for m in compare.METRICS]).crossJoin(b)  # one row each
-    return both.select(*[(F.col(f"a_{m}") - F.col(m)).alias(m) for m in compare.METRICS])
+    return compare.headline_delta(S.findings(spark, sf), _kept(spark, sf))
 
 
 @query(
@@ -512,8 +508,7 @@ def asof_commits(spark, sf):
 )
 def trend_summary(spark, sf):
     """First, last and change of each metric over time."""
-    first, last = F.min_by("value", "ts"), F.max_by("value", "ts")
-    return table(spark, sf, "events").groupBy(F.col("event_type").alias("metric")).agg(first.alias("first"), last.alias("last"), T.round2(last - first).alias("delta"))
+    return compare.trend_summary(table(spark, sf, "events").select(F.col("event_type").alias("metric"), F.col("ts").alias("at"), "value"))
 
 
 PATH_SQL = r"regexp_replace(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '/+$', '')"
@@ -541,16 +536,14 @@ SELECT page_id, arg_max(module, length(module)) AS module FROM p JOIN m ON start
 def longest_prefix_import(spark, sf):
     """Imports go to the longest module path that starts them."""
     modules = spark.range(1).select(F.explode(F.array(*map(F.lit, ("example", "example.com", "example.com/en", "example.com/de", "example.org", "example.org/en/1")))).alias("module"))
-    paths = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", r"(example\.[^?#]*)", 1).alias("path"))
-    # six modules of this list: a nested loop against them is one pass over the pages
-    hit = paths.join(F.broadcast(modules), F.expr("startswith(path, module)"))
-    return hit.groupBy("page_id").agg(F.max_by("module", F.length("module")).alias("module"))
+    paths = table(spark, sf, "pages").select(F.col("page_id").alias("key"), F.regexp_extract("url", r"(example\.[^?#]*)", 1).alias("path"))
+    return lookup.longest_prefix(paths, modules).withColumnRenamed("key", "page_id")
 
 
 @query(
     f"""WITH {BAG_SQL}, req AS (
   SELECT item_id, term, count(*) AS w FROM (SELECT item_id, unnest({WORDS_SQL}) AS term FROM benchmark)
-  WHERE length(term) >= 2 AND term NOT IN ('the', 'of', 'and', 'to', 'in', 'is', 'for', 'get', 'set', 'new', 'return') GROUP BY 1, 2
+  WHERE length(term) >= 2 AND term NOT IN ({STOP_SQL}) GROUP BY 1, 2
 ), names AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(name), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM symbols), nn AS (SELECT id, count(*) AS n FROM names GROUP BY 1
 ), s AS (SELECT r.item_id, b.id, sum(r.w * b.w) AS dot, count(n.term) AS shared FROM req r JOIN bag b USING (term) LEFT JOIN names n ON n.id = b.id AND n.term = r.term GROUP BY 1, 2
 ), scored AS (SELECT item_id, s.id, floor((0.7 * dot / (sqrt(rn) * sqrt(bn)) + 0.3 * shared / greatest(coalesce(nn.n, 0), 1)) * 10000 + 0.5) / 10000 AS score
@@ -560,20 +553,8 @@ WHERE place <= 5 AND best >= 0.3"""
 )
 def check_before_writing(spark, sf):
     """For each described need, the five symbols most like it."""
-    sym = S.symbols(spark, sf)
-    bag = similar.weighted_bags(sym)
-    req = table(spark, sf, "benchmark").select("item_id", F.explode(T.words(F.col("text"))).alias("term")).where((F.length("term") >= 2) & ~F.col("term").isin(*T.STOP))
-    req = req.groupBy("item_id", "term").agg(F.count("*").alias("rw"))
-    names = sym.select("id", F.explode(T.words(F.col("name"))).alias("term")).distinct().withColumn("named", F.lit(1))
-    hit = req.join(bag, "term").join(names, ["id", "term"], "left").groupBy("item_id", "id").agg(F.sum(F.col("rw") * F.col("w")).alias("dot"), F.count("named").alias("shared"))
-    rn = req.groupBy("item_id").agg(F.sum(F.col("rw") * F.col("rw")).alias("rn"))
-    bn = bag.groupBy("id").agg(F.sum(F.col("w") * F.col("w")).alias("bn"))
-    nn = names.groupBy("id").agg(F.count("*").alias("n"))
-    score = 0.7 * F.col("dot") / (F.sqrt("rn") * F.sqrt("bn")) + 0.3 * F.col("shared") / F.greatest(F.coalesce("n", F.lit(0)), F.lit(1))
-    scored = hit.join(rn, "item_id").join(bn, "id").join(nn, "id", "left").select("item_id", "id", (F.floor(score * 10000 + 0.5) / 10000).alias("score")).where("score > 0.15")
-    own = Window.partitionBy("item_id")
-    top = scored.withColumn("place", F.row_number().over(own.orderBy(F.desc("score"), "id"))).where("place <= 5").withColumn("best", F.max("score").over(own))
-    return top.where("best >= 0.3").select("item_id", "id", "score", F.col("place").cast("long").alias("place"))
+    needs = table(spark, sf, "benchmark").select(F.col("item_id").alias("need"), "text")
+    return lookup.similar_code(S.symbols(spark, sf), needs).withColumnRenamed("need", "item_id")
 
 
 @query(
@@ -582,19 +563,15 @@ WHERE contains(lower(text), 'the') OR contains(lower(text), 'thing') ORDER BY sc
 )
 def intent_search(spark, sf):
     """Purposes that hold the words asked for, confirmed ones first (a top-10 report)."""
-    low = F.lower("text")
-    hits = [F.contains(low, F.lit(w)).cast("int") for w in ("the", "thing")]
-    score = hits[0] + hits[1] + F.when(F.col("role") == "system", 0.5).otherwise(0.0)
-    found = table(spark, sf, "conversations").where(hits[0] + hits[1] > 0).select("conv_id", "turn", score.alias("score"))
-    return found.orderBy(F.desc("score"), "conv_id", "turn").limit(10)
+    told = table(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("symbol"), F.col("text").alias("purpose"), F.coalesce(F.col("role") == "system", F.lit(False)).alias("confirmed"))
+    return lookup.intent_search(told, ("the", "thing")).select("symbol.conv_id", "symbol.turn", "score")
 
 
 @query(r"""SELECT page_id, i AS place, length(s[i]) AS n_chars, md5(s[i]) AS script FROM (
   SELECT *, unnest(range(1, len(s) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?is)<script(?:\s[^>]*)?>(.*?)</script\s*>', 1) AS s FROM pages))""")
 def inline_scripts(spark, sf):
     """Script bodies of pages."""
-    bodies = F.regexp_extract_all("html", F.lit(r"(?is)<script(?:\s[^>]*)?>(.*?)</script\s*>"), F.lit(1))
-    out = table(spark, sf, "pages").select("page_id", F.posexplode(bodies).alias("place", "body"))
+    out = T.script_bodies(table(spark, sf, "pages").select("page_id", "html"), "html")
     return out.select("page_id", (F.col("place") + 1).cast("long").alias("place"), F.length("body").cast("long").alias("n_chars"), F.md5("body").alias("script"))
 
 
@@ -611,9 +588,7 @@ WHERE id = q OR lower(name) = lower(q) OR contains(lower(name), lower(q)) ORDER
 )
 def symbol_lookup(spark, sf):
     """A name in any case, else names that hold it (at most eight)."""
-    q = F.lit("THE AND")
-    how = F.when((F.col("id") == q) | (F.col("name") == q), 0).when(F.lower("name") == F.lower(q), 1).when(F.contains(F.lower("name"), F.lower(q)), 2)
-    return S.symbols(spark, sf).select("id", how.alias("how")).where("how is not null").orderBy("how", "id").limit(8)
+    return lookup.find_symbol(S.symbols(spark, sf), "THE AND")
 
 
 @query()
@@ -622,3 +597,6 @@ def concept_labels(spark, sf):
     own = table(spark, sf, "customer").select(key("c", "c_custkey").alias("id"), F.col("c_custkey").alias("seq"), key("n", "c_nationkey").alias("dir"))
     orders = table(spark, sf, "orders").select(key("o", "o_orderkey").alias("id"), (F.col("o_orderkey") + 1000000000).alias("seq"), F.col("o_orderpriority").alias("dir"))
     return concepts.scale_labels(own.unionByName(orders), S.edges(spark, sf), Stage(spark))
+
+
+from graphloom.plans import code_queries  # noqa: E402, F401  (registers the queries that scan code)
