@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import dead, graph, ignores, settings
+from graphloom.operators import concepts, dead, dupes, graph, ignores, lookup, settings
 from graphloom.plans.registry import query
 from graphloom.plans.staging import Stage
-from graphloom.sources import code, written
-from graphloom.sources.written import PYTHON_SQL, TYPESCRIPT_SQL
+from graphloom.sources import code, coverage, written
+from graphloom.sources.written import GO_SQL, PYTHON_SQL, SWIFT_SQL, TYPESCRIPT_SQL
 
 
 def _built(spark: SparkSession, files: DataFrame) -> tuple[code.Graph, DataFrame, Stage]:
@@ -161,3 +161,98 @@ def code_data_names(spark, sf):
     return code.data_names(small)
 
 
+
+
+@query(f"WITH {GO_SQL} SELECT id, kind, line, loc, exported FROM symbols")
+def code_go_symbols(spark, sf):
+    """Declarations of Go files; a capital letter exports."""
+    return _symbols(_built(spark, written.go(spark, sf))[0])
+
+
+@query(f"WITH {GO_SQL} SELECT src, dst FROM edges")
+def code_go_edges(spark, sf):
+    """Go calls, to the files of the same package too."""
+    return _built(spark, written.go(spark, sf))[0].edges.where("kind = 'references'").select("src", "dst").distinct()
+
+
+@query(f"WITH {GO_SQL} SELECT split_part(id, '#', 1) AS file, line, split_part(id, '#', 2) AS name FROM symbols WHERE bal < -900")
+def code_go_stubs(spark, sf):
+    """Go functions that panic for want of a body."""
+    return settings.stubs(_built(spark, written.go(spark, sf))[0]).select("file", F.col("line").cast("long").alias("line"), "name")
+
+
+@query(f"WITH {SWIFT_SQL} SELECT id, kind, line, loc, exported FROM symbols")
+def code_swift_symbols(spark, sf):
+    """Classes and methods of Swift files."""
+    return _symbols(_built(spark, written.swift(spark, sf))[0])
+
+
+@query(f"WITH {SWIFT_SQL} SELECT src, dst FROM calls")
+def code_swift_edges(spark, sf):
+    """Swift calls, which one namespace resolves by name."""
+    return _built(spark, written.swift(spark, sf))[0].edges.where("kind = 'references'").select("src", "dst").distinct()
+
+
+@query(f"WITH RECURSIVE {TYPESCRIPT_SQL} SELECT id FROM sized WHERE NOT stub")
+def code_candidates(spark, sf):
+    """Functions that are compared for duplicates: real ones, with a body that says something."""
+    return dupes.candidates(_built(spark, written.typescript(spark, sf))[0].symbols).select("id")
+
+
+@query(
+    f"""WITH RECURSIVE {TYPESCRIPT_SQL}, n AS (SELECT dst AS id, count(*) AS callers FROM edges GROUP BY dst)
+SELECT id, callers, floor(callers * log2(loc + 2) * 100 + 0.5) / 100 AS weight FROM n JOIN symbols USING (id)
+WHERE loc >= 4 AND id NOT IN (SELECT file || '#cust' || k FROM c WHERE k % 5 = 0) ORDER BY weight DESC, id LIMIT 20"""
+)
+def code_intent_gaps(spark, sf):
+    """Much-used functions whose purpose is not written down (a top-20 report)."""
+    g, _, _ = _built(spark, written.typescript(spark, sf))
+    told = g.symbols.where(F.regexp_extract("name", "^cust([0-9]+)$", 1).try_cast("long") % 5 == 0).select(F.col("id").alias("symbol"))
+    return lookup.intent_gaps(g.symbols.where("kind <> 'module'"), g.edges, told)
+
+
+@query(
+    f"""WITH RECURSIVE {TYPESCRIPT_SQL}, t AS (SELECT file || '#cust2' AS id FROM c WHERE k = 2)
+SELECT CASE kind WHEN 'imports' THEN 'importer' ELSE 'caller' END AS relation, src AS id FROM edges WHERE dst IN (SELECT id FROM t)
+UNION SELECT 'reaches', dst FROM edges WHERE src IN (SELECT id FROM t)"""
+)
+def code_why(spark, sf):
+    """Why a function is alive: its callers, importers, and what it reaches."""
+    g, _, _ = _built(spark, written.typescript(spark, sf))
+    target = lookup.find_symbol(g.symbols, "cust2", 1).first()
+    return lookup.why(g.symbols, g.edges, target.id if target else "")
+
+
+@query(
+    """WITH e AS (SELECT 'src/f' || user_id % 50 || '.ts' AS file, event_id, (event_id * 7) % 400 + 1 AS a, event_id % 3 AS more, event_type FROM events)
+SELECT DISTINCT file, (a + i)::INT AS line FROM e, range(0, 3) r(i) WHERE event_type <> 'click' AND i <= more AND event_id % 2 = 1
+UNION SELECT 'src/p' || user_id % 50 || '.py', (event_id % 300)::INT FROM events WHERE event_type = 'click'"""
+)
+def coverage_reports(spark, sf):
+    """Lines that Istanbul and coverage.py reports saw run, read on executors."""
+    e = spark.read.parquet(f"{sf}/events.parquet").withColumn("a", ((F.col("event_id") * 7) % 400 + 1).cast("int")).withColumn("b", (F.col("a") + F.col("event_id") % 3).cast("int"))
+    at = F.struct(F.struct(F.col("a").alias("line")).alias("start"), F.struct(F.col("b").alias("line")).alias("end"))
+    k = F.col("event_id").cast("string")
+    one = e.where("event_type <> 'click'").groupBy("event_type", (F.col("user_id") % 50).alias("f")).agg(F.map_from_entries(F.collect_list(F.struct(k, at))).alias("statementMap"), F.map_from_entries(F.collect_list(F.struct(k, (F.col("event_id") % 2).cast("int")))).alias("s"))
+    path = F.format_string("/work/src/f%d.ts", "f")
+    ist = one.groupBy("event_type").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(path, F.struct(path.alias("path"), "statementMap", "s"))))).alias("content"))
+    ran = e.where("event_type = 'click'").groupBy((F.col("user_id") % 50).alias("f")).agg(F.collect_list((F.col("event_id") % 300).cast("int")).alias("executed_lines"))
+    py = ran.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct(F.format_string("src/p%d.py", "f"), F.struct("executed_lines")))).alias("files"))).alias("content"))
+    return coverage.report_lines(ist.select("content").unionByName(py), "/work/")
+
+
+@query(
+    f"""WITH RECURSIVE {TYPESCRIPT_SQL}, s AS (SELECT n AS concept, file || '#cust' || k AS id, 'src/' || CASE WHEN seg < 'c' THEN 'a' ELSE 'b' END AS dir, bal FROM c
+), sizes AS (SELECT concept, count(*) AS symbols, count(*) * 10 AS loc, row_number() OVER (ORDER BY count(*) DESC, concept) AS place FROM s GROUP BY 1
+), own AS (SELECT s.id, s.dir, CASE WHEN place < 10 THEN s.concept ELSE -1 END AS concept FROM s JOIN sizes USING (concept)
+), cross_ AS (SELECT a.concept, b.concept AS dst, count(*) AS weight FROM edges e JOIN own a ON a.id = src JOIN own b ON b.id = dst WHERE a.concept <> b.concept GROUP BY 1, 2)
+SELECT concept, count(*) AS symbols, count(*) * 10 AS loc, coalesce((SELECT sum(weight) FROM cross_ x WHERE x.concept = own.concept), 0)::BIGINT AS coupled,
+  coalesce((SELECT count(*) FROM cross_ x WHERE x.concept = own.concept), 0) AS partners FROM own GROUP BY concept"""
+)
+def code_concepts(spark, sf):
+    """Concepts of symbols: the largest, the tail as one, and how much each uses the others."""
+    g, _, _ = _built(spark, written.typescript(spark, sf))
+    sym = g.symbols.where("kind = 'function'").select("id", F.when(F.regexp_extract("file", "([a-z]+)[.]ts$", 1) < "c", "src/a").otherwise("src/b").alias("dir"), "name", F.lit(10).alias("loc"), "file")
+    labels = sym.select("id", F.regexp_extract("file", "^src/n([0-9]+)/", 1).cast("int").alias("concept"))
+    out = concepts.describe(labels, sym, g.edges.select("src", "dst"), 10)
+    return out.select("concept", "symbols", "loc", F.coalesce(F.aggregate("coupling", F.lit(0).cast("long"), lambda a, x: a + x["weight"]), F.lit(0)).alias("coupled"), F.coalesce(F.size("coupling"), F.lit(0)).cast("long").alias("partners"))

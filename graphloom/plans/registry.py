@@ -286,7 +286,20 @@ def exact_dup_removable(spark, sf):
     return g.where("members >= 2")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {SYMBOLS_SQL}, total AS (SELECT count(*) AS n FROM symbols
+), draw(i, state) AS (
+  SELECT 1, (42::BIGINT * 1664525 + 1013904223) % 4294967296 UNION ALL SELECT i + 1, (state * 1664525 + 1013904223) % 4294967296 FROM draw WHERE i < 800
+), picked AS (SELECT i, floor(state / 4294967296.0::DOUBLE * n)::BIGINT AS at FROM draw, total
+), drawn AS (SELECT DISTINCT x.at AS x, y.at AS y FROM picked x JOIN picked y ON y.i = x.i + 1 AND x.i % 2 = 1 WHERE x.at <> y.at
+), bag AS (
+  SELECT seq, term, count(*) AS w FROM (SELECT seq, unnest(regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM symbols) WHERE length(term) >= 2 GROUP BY 1, 2
+), norms AS (SELECT seq, sqrt(sum(w * w)) AS norm FROM bag GROUP BY 1
+), dots AS (SELECT x, y, sum(a.w * b.w) AS dot FROM drawn JOIN bag a ON a.seq = x JOIN bag b ON b.seq = y AND a.term = b.term GROUP BY 1, 2
+), scores AS (SELECT coalesce(dot / (p.norm * q.norm), 0) AS s FROM drawn LEFT JOIN dots USING (x, y) LEFT JOIN norms p ON p.seq = x LEFT JOIN norms q ON q.seq = y
+), sorted AS (SELECT list_sort(list(s)) AS s FROM scores)
+SELECT n AS candidates, greatest(0.72::DOUBLE, least(0.95::DOUBLE, s[least(len(s), floor(len(s) * 0.95::DOUBLE)::BIGINT + 1)] + 0.05::DOUBLE)) AS threshold FROM total, sorted"""
+)
 def calibrated_threshold(spark, sf):
     """The duplicate threshold, raised above random pairs of the corpus."""
     sym = S.symbols(spark, sf)
@@ -591,7 +604,19 @@ def symbol_lookup(spark, sf):
     return lookup.find_symbol(S.symbols(spark, sf), "THE AND")
 
 
-@query()
+def _passes(n: int) -> str:
+    """The passes of label propagation, one after the other."""
+    votes = "SELECT id, concept, sum(w) AS w FROM (SELECT b.id, l.concept, 1.0::DOUBLE AS w FROM ways b JOIN l{0} l ON l.id = b.other UNION ALL SELECT id, concept, 0.5 FROM l{0}) GROUP BY 1, 2"
+    one = "l{1} AS MATERIALIZED (SELECT id, concept FROM (" + votes + ") WHERE id IN (SELECT id FROM sym) QUALIFY row_number() OVER (PARTITION BY id ORDER BY w DESC, concept) = 1)"
+    return ", ".join(one.format(i, i + 1) for i in range(n))
+
+
+@query(
+    f"""WITH {EDGES_SQL}, sym AS (
+  SELECT 'c' || c_custkey AS id, c_custkey AS seq, 'n' || c_nationkey AS dir FROM customer UNION ALL SELECT 'o' || o_orderkey, o_orderkey + 1000000000, o_orderpriority FROM orders
+), ways AS (SELECT src AS id, dst AS other FROM edges WHERE src <> dst UNION ALL SELECT dst, src FROM edges WHERE src <> dst
+), l0 AS MATERIALIZED (SELECT id, min(seq) OVER (PARTITION BY dir) AS concept FROM sym), {_passes(5)} SELECT id, concept FROM l5"""
+)
 def concept_labels(spark, sf):
     """Concepts by synchronous label propagation over customers and their orders, seeded by nation."""
     own = table(spark, sf, "customer").select(key("c", "c_custkey").alias("id"), F.col("c_custkey").alias("seq"), key("n", "c_nationkey").alias("dir"))

@@ -8,6 +8,7 @@ import os
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class ReportError(ValueError):
@@ -84,3 +85,24 @@ def read_coverage(spark: SparkSession, root: str, paths: Iterable[str]) -> DataF
     """(file, line) that any of the reports saw run; one project's reports, read on the driver."""
     lines = sorted(set().union(*(read_report(root, p) for p in paths)))
     return spark.createDataFrame(lines, "file string, line int")
+
+
+ISTANBUL = "map<string, struct<path:string, statementMap:map<string, struct<start:struct<line:int>, end:struct<line:int>>>, s:map<string, int>>>"
+COVERAGE_PY = "struct<files:map<string, struct<executed_lines:array<int>>>>"
+
+
+def report_lines(reports: DataFrame, prefix: str = "") -> DataFrame:
+    """(file, line) that any report (content: JSON) saw run, on executors.
+
+    Istanbul and coverage.py reports, told by their shape; paths lose ``prefix``.
+    What is neither has no line.
+    """
+    py = F.get_json_object("content", "$.files").isNotNull()
+    plain = lambda p: F.when(F.startswith(p, F.lit(prefix)), F.substring(p, F.lit(len(prefix) + 1), F.length(p))).otherwise(p)
+    entries = reports.where(~py).select(F.explode(F.from_json("content", ISTANBUL)).alias("name", "x"))
+    ran = entries.select(F.coalesce("x.path", "name").alias("path"), F.col("x.s").alias("s"), F.explode("x.statementMap").alias("k", "at"))
+    ran = ran.where(F.coalesce(F.try_element_at("s", "k"), F.lit(0)) > 0)
+    first = ran.select(plain(F.col("path")).alias("file"), F.explode(F.sequence("at.start.line", F.greatest("at.start.line", "at.end.line"))).alias("line"))
+    files = reports.where(py).select(F.explode(F.from_json("content", COVERAGE_PY)["files"]).alias("path", "x"))
+    second = files.select(plain(F.col("path")).alias("file"), F.explode("x.executed_lines").alias("line"))
+    return first.unionByName(second).distinct()

@@ -136,3 +136,50 @@ PYTHON_SQL = r"""s AS (
   UNION SELECT file || '#<module>', 'pkg/__init__.py#<module>', 'imports' FROM files
 ), reach(id) AS (SELECT 'pkg/main.py#<module>' UNION SELECT dst FROM edges JOIN reach ON src = reach.id
 )"""
+
+
+def go(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, content): a package for each nation with a file for each segment; customers call within their nation."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").cast("int").alias("n"), F.lower("c_mktsegment").alias("seg"), F.col("c_acctbal").alias("bal"))
+    c = c.withColumn("name", F.when(F.col("bal") >= 5000, F.format_string("Cust%d", "k")).otherwise(F.format_string("cust%d", "k")))
+    child = c.select(F.floor(F.col("k") / 2).alias("k"), F.col("n").alias("to"), F.col("k").alias("child"), F.col("name").alias("called"))
+    own = c.join(child, "k").where("n = to and k <> child").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("child", "called"))).alias("children"))
+    lines = _lines(
+        F.array(F.concat(F.lit("func "), "name", F.lit("(v int) int {"))),
+        F.when(F.col("bal") < -900, _say('\tpanic("not implemented")')).otherwise(_lines(F.transform("children", lambda x: F.concat(F.lit("\tv += "), x["called"], F.lit("(v)"))), F.array(F.lit("\treturn v")))),
+        F.array(F.lit("}"), F.lit("")),
+    )
+    functions = c.join(own, "k", "left").select("n", "seg", "k", lines.alias("lines")).groupBy("n", "seg").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "lines"))), lambda x: x["lines"])).alias("lines"))
+    return functions.select(F.format_string("internal/n%d/%s.go", "n", "seg").alias("file"), F.array_join(F.concat(F.array(F.format_string("package n%d", "n"), F.lit("")), "lines"), "\n").alias("content"))
+
+
+GO_SQL = r"""c AS (
+  SELECT c_custkey AS k, c_nationkey AS n, c_acctbal AS bal, 'internal/n' || c_nationkey || '/' || lower(c_mktsegment) || '.go' AS file,
+    CASE WHEN c_acctbal >= 5000 THEN 'Cust' ELSE 'cust' END || c_custkey AS name FROM customer
+), calls AS (SELECT a.k, a.n, a.file, a.name, a.bal, b.file AS dst, b.name AS child FROM c a JOIN c b ON b.k // 2 = a.k AND b.n = a.n AND a.k <> b.k
+), sized AS (SELECT *, file || '#' || name AS id, CASE WHEN bal < -900 THEN 3 ELSE 3 + (SELECT count(*) FROM calls WHERE calls.k = c.k) END AS loc FROM c
+), symbols AS (SELECT id, 'function' AS kind, bal >= 5000 AS exported, loc::BIGINT AS loc, (2 + sum(loc + 1) OVER (PARTITION BY file ORDER BY k) - loc)::BIGINT AS line, bal FROM sized
+), edges AS (SELECT DISTINCT file || '#' || name AS src, dst || '#' || child AS dst FROM calls WHERE bal >= -900)"""
+
+
+def swift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, content): a class for each nation, its suppliers' methods call those of twice their number."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").cast("int").alias("n"), F.col("s_acctbal").alias("bal"))
+    child = s.select(F.floor(F.col("k") / 2).alias("k"), F.col("k").alias("child"))
+    own = s.join(child, "k").where("k <> child").groupBy("k").agg(F.sort_array(F.collect_list("child")).alias("children"))
+    lines = _lines(
+        F.array(F.format_string("  %sfunc sup%d(_ v: Int) -> Int {", F.when(F.col("bal") >= 5000, "public ").otherwise(""), "k")),
+        F.transform("children", lambda x: F.format_string("    other.sup%d(v)", x)),
+        F.array(F.lit("    return v"), F.lit("  }")),
+    )
+    methods = s.join(own, "k", "left").select("n", "k", lines.alias("lines")).groupBy("n").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "lines"))), lambda x: x["lines"])).alias("lines"))
+    return methods.select(F.format_string("App/Nation%d.swift", "n").alias("file"), F.array_join(F.concat(F.array(F.format_string("class Nation%d {", "n")), "lines", F.array(F.lit("}"), F.lit(""))), "\n").alias("content"))
+
+
+SWIFT_SQL = r"""s AS (SELECT s_suppkey AS k, s_nationkey AS n, s_acctbal AS bal, 'App/Nation' || s_nationkey || '.swift#Nation' || s_nationkey AS cls FROM supplier
+), calls AS (SELECT a.k, a.cls || '.sup' || a.k AS src, b.cls || '.sup' || b.k AS dst FROM s a JOIN s b ON b.k // 2 = a.k AND a.k <> b.k
+), sized AS (SELECT *, 3 + (SELECT count(*) FROM calls WHERE calls.k = s.k) AS loc FROM s
+), symbols AS (
+  SELECT cls || '.sup' || k AS id, 'method' AS kind, bal >= 5000 AS exported, loc::BIGINT AS loc, (2 + sum(loc) OVER (PARTITION BY n ORDER BY k) - loc)::BIGINT AS line FROM sized
+  UNION ALL SELECT cls, 'class', false, (2 + sum(loc))::BIGINT, 1 FROM sized GROUP BY cls
+)"""
