@@ -208,7 +208,7 @@ def code_intent_gaps(spark, sf):
     """Much-used functions whose purpose is not written down (a top-20 report)."""
     g, _, _ = _built(spark, written.typescript(spark, sf))
     told = g.symbols.where(F.regexp_extract("name", "^cust([0-9]+)$", 1).try_cast("long") % 5 == 0).select(F.col("id").alias("symbol"))
-    return lookup.intent_gaps(g.symbols.where("kind <> 'module'"), g.edges, told)
+    return lookup.intent_gaps(g.symbols.where("kind <> 'module'"), g.edges.select("src", "dst", "kind").distinct(), told)
 
 
 @query(

@@ -8,7 +8,7 @@ FN = "export function {name}(ms: number): string {{\n  const minutes = Math.floo
 OTHER = "export function parseTable(rows: string[]): string[][] {\n  const out = [];\n  for (const row of rows) {\n    out.push(row.split(','));\n  }\n  return out;\n}\n"
 FILES = {
     "src/a.ts": FN.format(name="formatDuration"),
-    "src/b.ts": FN.format(name="prettyDuration"),
+    "src/b.ts": FN.format(name="prettyTime"),
     "src/c.ts": OTHER,
     "src/a.test.ts": FN.format(name="checkDuration"),
     "src/conf1.ts": "export const host = process.env.DB_HOST || 'localhost';\nexport const requestTimeout = 3000;\nexport const nowUtc = () => { return new Date().toISOString(); };\nexport function dayUtc(d: Date) { return d.getUTCDate(); }\n",
