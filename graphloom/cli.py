@@ -8,7 +8,7 @@ import sys
 
 from pyspark.sql import functions as F
 
-VERBS = ("scan", "dead", "duplicates", "drift", "contradictions", "unfinished", "concepts", "why", "blast", "check", "budget", "dismiss", "intent", "trend", "report")
+VERBS = ("scan", "dead", "duplicates", "drift", "contradictions", "unfinished", "concepts", "why", "blast", "find", "like", "uses", "gaps", "ignores", "check", "budget", "dismiss", "intent", "trend", "report")
 
 
 def main(args: list[str] | None = None, spark=None) -> int:
@@ -20,7 +20,7 @@ def main(args: list[str] | None = None, spark=None) -> int:
     p.add_argument("--limit", type=int, default=20)
     p.add_argument("--coverage", action="append", default=[])
     a = p.parse_args(args)
-    from graphloom.operators import graph, project
+    from graphloom.operators import graph, lookup, project
     from graphloom.plans.ship import ship
     from graphloom.plans.staging import Stage
     from graphloom.sources import stores
@@ -53,29 +53,44 @@ def main(args: list[str] | None = None, spark=None) -> int:
         return 0
     if a.verb == "concepts":
         rows = [r.asDict(recursive=True) for r in project.concept_table(s).orderBy(F.desc("loc")).collect()]
-    elif a.verb in ("why", "blast"):
+    elif a.verb in ("why", "blast", "find"):
         name = a.rest[0] if a.rest else ""
-        hit = s.graph.symbols.where((F.col("id") == name) | (F.lower("name") == name.lower())).select("id", "file", "line").limit(8).collect()
-        rows = []
-        for h in hit[:1]:
-            if a.verb == "blast":
-                rows = [r.asDict() for r in graph.blast_radius(s.graph.edges, h.id, Stage(spark), 2).orderBy("hop", "id").limit(a.limit).collect()]
-            else:
-                callers = [r.src for r in s.graph.edges.where(F.col("dst") == h.id).select("src").distinct().orderBy("src").limit(a.limit).collect()]
-                rows = [{**h.asDict(), "callers": callers, "intent": stores.intents(a.root).get(h.id)}]
+        hit = lookup.find_symbol(s.graph.symbols, name).join(s.graph.symbols.select("id", "file", "line"), "id").orderBy("how", "id").collect()
+        rows = [{"id": h.id, "file": h.file, "line": h.line} for h in hit]
+        if a.verb != "find" and (not hit or hit[0].how == 2):  # only names that hold it: suggestions
+            rows = [{"suggestion": r["id"]} for r in rows]
+        elif a.verb == "blast":
+            rows = [r.asDict() for r in graph.blast_radius(s.graph.edges, hit[0].id, Stage(spark), 2).orderBy("hop", "id").limit(a.limit).collect()]
+        elif a.verb == "why":
+            near = lookup.why(s.graph.symbols, s.graph.edges, hit[0].id).orderBy("relation", "id").limit(3 * a.limit).collect()
+            said = lambda *kinds: [r.id for r in near if r.relation in kinds][: a.limit]
+            rows = [{**rows[0], "callers": said("caller", "importer"), "importedBy": said("importer"), "reaches": said("reaches"), "intent": stores.intents(a.root).get(hit[0].id)}]
+    elif a.verb == "like":
+        needs = spark.createDataFrame([(0, " ".join(a.rest))], "need int, text string")
+        own = s.graph.symbols.where(F.col("kind").isin("function", "method", "class"))
+        rows = [r.asDict() for r in lookup.similar_code(own, needs).orderBy("place").collect()]
+    elif a.verb in ("uses", "gaps"):
+        sym = s.graph.symbols.where("kind <> 'module'")
+        told = spark.createDataFrame([(x,) for x in stores.intents(a.root)], "symbol string")
+        top = lookup.load_bearing(sym, s.graph.edges, a.limit) if a.verb == "uses" else lookup.intent_gaps(sym, s.graph.edges, told, a.limit)
+        rows = [r.asDict() for r in top.collect()]
+    elif a.verb == "ignores":
+        rows = [r.asDict() for r in s.directives.orderBy("file", "line").collect()]
     else:
         kinds = {"dead": "dead", "duplicates": "duplicate", "drift": "drift", "contradictions": "contradiction", "unfinished": "unfinished"}
         if a.verb in kinds:
-            s.findings = s.findings.where(F.col("kind") == kinds[a.verb])
+            s.findings = lookup.list_findings(s.findings, (kinds[a.verb], "orphan-file") if a.verb == "dead" else (kinds[a.verb],))
         rows = [r.asDict() for r in project.worklist(s, a.limit).collect()]
     out = {"stats": {k: int(v) for k, v in s.stats.items()}, "rows": rows}
     if a.verb == "report":
         data = json.dumps(out).replace("<", "\\u003c").replace(">", "\\u003e").replace("&", "\\u0026")
         print(f"<!doctype html><meta charset=utf-8><title>graphloom</title><pre id=o></pre><script>const d={data};o.textContent=JSON.stringify(d,null,2)</script>")
-    elif a.json or a.verb in ("why", "blast", "concepts"):
+    elif a.json or a.verb in ("why", "blast", "concepts", "find", "like", "uses", "gaps", "ignores"):
         print(json.dumps(out if a.verb == "scan" else rows, indent=2, default=str))
     else:
         st = out["stats"]
+        if not s.has_entry:
+            print("No entry or public file was found, so nothing is called dead; name some in graphloom.json.")
         print(f"{st['files']} files, {st['symbols']} symbols, {st['loc']} lines; dead {st['dead_loc']}, duplicate {st['duplicate_loc']}, drift {st['drift_count']}, contradictions {st['contradiction_count']}, unfinished {st['unfinished_count']}")
         print("\n".join(f"{r['severity']:6} {r['weight']:7.3f} {r['kind']:13} {r['title']} ({r['file']}:{r['line']})" for r in rows) or "Nothing to do.")
     return 0

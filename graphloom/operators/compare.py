@@ -129,3 +129,49 @@ def trend_summary(points: DataFrame) -> DataFrame:
 def undismissed(findings: DataFrame, dismissed: DataFrame) -> DataFrame:
     """Findings whose id (dismissed: id) nobody set aside."""
     return findings.join(dismissed.select("id").distinct(), "id", "left_anti")
+
+
+LEVELS = ("low", "medium", "high")
+
+
+def worst_severity(level: Column) -> Column:
+    """The highest of some severities, as an aggregate."""
+    place = F.max(F.array_position(F.array(*map(F.lit, LEVELS)), level)).cast("int")
+    return F.element_at(F.array(*map(F.lit, LEVELS)), place)
+
+
+def file_weights(findings: DataFrame) -> DataFrame:
+    """(file, n, weight, worst): how much the findings of each file weigh; the heaviest is where to begin."""
+    kind, score, loc = F.col("kind"), F.col("score"), F.col("loc")
+    each = findings.select("file", F.floor(weight(kind, score, loc) * 1000 + 0.5).cast("long").alias("w"), severity(kind, score, loc).alias("level"))
+    return each.groupBy("file").agg(F.count("*").alias("n"), (F.sum("w") / 1000.0).alias("weight"), worst_severity(F.col("level")).alias("worst"))
+
+
+def percent(part: Column, total: Column) -> Column:
+    """A share as text; one that is not nothing never shows as 0 %, one that is not all never as 100 %."""
+    share = part / total * 100
+    return F.when((part > 0) & (share < 1), "<1%").when((part < total) & (share > 99), ">99%").otherwise(F.concat(F.floor(share + 0.5).cast("string"), F.lit("%")))
+
+
+#: Confidence bands that findings are judged in.
+BANDS = ((0.7, "sure"), (0.5, "likely"), (0.0, "doubtful"))
+
+
+def band(score: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for least, name in reversed(BANDS):
+        out = F.when(score >= least, name).otherwise(out)
+    return out
+
+
+def accuracy(judged: DataFrame, least: float = FLOOR) -> DataFrame:
+    """(band, n, true_n, precision, recall) of labelled scores (score, want), all together as band *all*.
+
+    ``precision`` is the share of wanted ones among those found (``least`` or more,
+    or in the band), ``recall`` the share of all wanted ones that these are.
+    """
+    rows = judged.select(F.when(F.col("score") >= least, "all").alias("whole"), band(F.col("score")).alias("own"), F.col("want").cast("int").alias("want"))
+    each = rows.select(F.explode(F.array_compact(F.array("whole", "own"))).alias("band"), "want")
+    total = rows.agg(F.sum("want").alias("wanted"))
+    found = each.groupBy("band").agg(F.count("*").alias("n"), F.sum("want").cast("long").alias("true_n"))
+    return found.crossJoin(total).select("band", "n", "true_n", round2(F.col("true_n") / F.col("n")).alias("precision"), round2(F.col("true_n") / F.col("wanted")).alias("recall"))  # one row

@@ -98,6 +98,11 @@ def rule_roots(symbols: DataFrame, facts: DataFrame, rules: tuple[Rule, ...] = R
     return first.select("id", "file", reason.alias("reason"))
 
 
+def rule_effect(symbols: DataFrame, facts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(reason, n): how many symbols each rule keeps alive, so that its effect is seen."""
+    return rule_roots(symbols, facts, rules).groupBy("reason").agg(F.count("*").alias("n"))
+
+
 def has_entry(files: DataFrame, entry: tuple[str, ...], public: tuple[str, ...]) -> bool:
     """Whether an entry or public glob means a file; without one, reachability says nothing."""
     globs = [glob_regex(g) for g in (*entry, *public)]

@@ -112,3 +112,10 @@ def name_edges(refs: DataFrame, members: DataFrame) -> DataFrame:
     sources times its members, which is the size of the result.
     """
     return refs.groupBy("kind", "src", "name").agg(F.count("*").alias("n")).join(members, "name").select("kind", "src", "dst", "n")
+
+
+def same_name(symbols: DataFrame) -> DataFrame:
+    """(name, files, n): qualified names that several files declare."""
+    full = F.when(F.col("container") == "", F.col("name")).otherwise(F.concat_ws(".", "container", "name"))
+    named = symbols.where("kind <> 'module'").groupBy(full.alias("name")).agg(F.countDistinct("file").alias("files"), F.count("*").alias("n"))
+    return named.where("files >= 2")

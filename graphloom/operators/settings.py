@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +42,31 @@ def plain_value(raw: Column) -> Column:
     return F.when(bare.rlike(r"[(){}\[\]?]"), "").otherwise(bare)
 
 
-def contradictions(g) -> DataFrame:
+@dataclass(frozen=True)
+class Divergence:
+    """A rule of a project's own: what must be stated with one value wherever it is stated.
+
+    ``pattern`` finds the statements; its groups ``key`` and ``value`` (numbers from 1) are compared.
+    """
+
+    name: str
+    pattern: str
+    key: int = 1
+    value: int = 2
+    score: float = 0.6
+    least_files: int = 1
+
+
+def divergent(text: DataFrame, rule: Divergence) -> DataFrame:
+    """What ``contradictions`` finds by one rule of one's own."""
+    sites = _sites(text, rule.pattern, max(rule.key, rule.value)).select(F.col(f"g{rule.key}").alias("key"), plain_value(F.col(f"g{rule.value}")).alias("value"), "file", F.struct("file", "at").alias("seq"))
+    sites = sites.where("key <> '' and value <> ''")
+    wide = sites.groupBy("key").agg(F.countDistinct("file").alias("files")).where(F.col("files") >= rule.least_files)
+    found = compare.conflicting(sites.join(wide, "key").select("key", "value", "seq"))
+    return found.select(F.lit(rule.name).alias("rule"), "*", F.lit(rule.score).alias("score"))
+
+
+def contradictions(g, own: tuple[Divergence, ...] = ()) -> DataFrame:
     """(rule, key, n_values, n_sites, score, first_value) of one setting with several values."""
     text, place = sources(g), F.struct("file", "at").alias("seq")
     env = _sites(text, DEFAULT, 3).select(F.when(F.col("g1") != "", F.col("g1")).otherwise(F.col("g2")).alias("key"), plain_value(F.col("g3")).alias("value"), place)
@@ -57,7 +83,10 @@ def contradictions(g) -> DataFrame:
     clock = readers.select(F.lit("time").alias("grp"), F.col("source").rlike(UTC).alias("u"), F.col("source").rlike(LOCAL).alias("l")).where("u <> l")
     split = compare.split_population(clock.select("grp", F.col("u").alias("side")))
     third = split.select(F.lit("time-semantics").alias("rule"), F.lit("utc/local").alias("key"), F.lit(2).cast("long").alias("n_values"), (F.col("n_a") + F.col("n_b")).alias("n_sites"), F.lit("").alias("first_value"), F.lit(0.55).alias("score"))
-    return out.unionByName(third)
+    out = out.unionByName(third)
+    for rule in own:
+        out = out.unionByName(divergent(text, rule))
+    return out
 
 
 #: Conventions, the uses each needs to be one, and their dialects.

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import concepts, dead, dupes, graph, ignores, lookup, settings
-from graphloom.plans.registry import query
+from graphloom.operators import compare, concepts, dead, dupes, graph, ignores, lookup, report, settings
+from graphloom.plans.registry import SEVERITY_SQL, WEIGHT_SQL, query
 from graphloom.plans.staging import Stage
 from graphloom.sources import code, coverage, written
+from graphloom.sources import tables as S
+from graphloom.sources.tables import FINDINGS_SQL
 from graphloom.sources.written import GO_SQL, PYTHON_SQL, SWIFT_SQL, TYPESCRIPT_SQL
 
 
@@ -256,3 +258,98 @@ def code_concepts(spark, sf):
     labels = sym.select("id", F.regexp_extract("file", "^src/n([0-9]+)/", 1).cast("int").alias("concept"))
     out = concepts.describe(labels, sym, g.edges.select("src", "dst"), 10)
     return out.select("concept", "symbols", "loc", F.coalesce(F.aggregate("coupling", F.lit(0).cast("long"), lambda a, x: a + x["weight"]), F.lit(0)).alias("coupled"), F.coalesce(F.size("coupling"), F.lit(0)).cast("long").alias("partners"))
+
+
+@query(
+    f"""WITH {FINDINGS_SQL}, each AS (SELECT file, floor({WEIGHT_SQL} * 1000 + 0.5)::BIGINT AS w, {SEVERITY_SQL} AS level FROM findings)
+SELECT file, count(*) AS n, sum(w) / 1000.0::DOUBLE AS weight, CASE max(CASE level WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS worst FROM each GROUP BY file"""
+)
+def file_weights(spark, sf):
+    """How much the findings of each file weigh, and the worst of them."""
+    return compare.file_weights(S.findings(spark, sf))
+
+
+@query(
+    f"""WITH {FINDINGS_SQL}, j AS (SELECT score, (length(file) + loc) % 3 = 0 AS want FROM findings), e AS (
+  SELECT 'all' AS band, want FROM j WHERE score >= 0.5 UNION ALL SELECT CASE WHEN score >= 0.7 THEN 'sure' WHEN score >= 0.5 THEN 'likely' ELSE 'doubtful' END, want FROM j)
+SELECT band, count(*) AS n, count(*) FILTER (want) AS true_n, floor(count(*) FILTER (want) / count(*)::DOUBLE * 100 + 0.5) / 100 AS precision,
+  floor(count(*) FILTER (want) / (SELECT count(*) FROM j WHERE want)::DOUBLE * 100 + 0.5) / 100 AS recall FROM e GROUP BY band"""
+)
+def accuracy_bands(spark, sf):
+    """Precision and recall of labelled findings, in bands of confidence."""
+    return compare.accuracy(S.findings(spark, sf).select("score", ((F.length("file") + F.col("loc")) % 3 == 0).alias("want")))
+
+
+@query(
+    """WITH n AS (SELECT p_brand AS grp, p_type AS name, count(*) AS part FROM part GROUP BY 1, 2), s AS (SELECT *, sum(part) OVER (PARTITION BY grp) AS total FROM n)
+SELECT grp, name, CASE WHEN part / total * 100 < 1 THEN '<1%' WHEN part < total AND part / total * 100 > 99 THEN '>99%' ELSE floor(part / total * 100 + 0.5)::INT || '%' END AS share FROM s"""
+)
+def percent_shares(spark, sf):
+    """Shares as text, never rounded to nothing or to all."""
+    from pyspark.sql import Window
+
+    n = spark.read.parquet(f"{sf}/part.parquet").groupBy(F.col("p_brand").alias("grp"), F.col("p_type").alias("name")).agg(F.count("*").alias("part"))
+    return n.select("grp", "name", compare.percent(F.col("part"), F.sum("part").over(Window.partitionBy("grp"))).alias("share"))
+
+
+@query(f"WITH RECURSIVE {TYPESCRIPT_SQL} SELECT name, count(DISTINCT file) AS files, count(*) AS n FROM symbols GROUP BY name HAVING count(DISTINCT file) >= 2")
+def code_same_name(spark, sf):
+    """Names that several files declare."""
+    return graph.same_name(_built(spark, written.typescript(spark, sf))[0].symbols)
+
+
+@query(
+    f"""WITH RECURSIVE {TYPESCRIPT_SQL} SELECT CASE WHEN file LIKE 'src/n3/%' THEN 'third' WHEN name LIKE 'cust1%' AND kind = 'function' THEN 'ones' END AS reason, count(*) AS n
+FROM (SELECT file, name, kind FROM symbols UNION ALL SELECT DISTINCT file, '<module>', 'module' FROM c) WHERE file LIKE 'src/n3/%' OR name LIKE 'cust1%' AND kind = 'function' GROUP BY 1"""
+)
+def code_rule_effect(spark, sf):
+    """How many symbols rules of one's own keep alive, the first rule counting."""
+    g, _, _ = _built(spark, written.typescript(spark, sf))
+    rules = (dead.Rule("third", files=("src/n3/**",)), dead.Rule("ones", names=("cust1*",)))
+    return dead.rule_effect(g.symbols, g.facts, rules)
+
+
+@query(
+    f"""WITH RECURSIVE {TYPESCRIPT_SQL}, m AS (SELECT file, unnest(range(line::BIGINT, (line + loc)::BIGINT)) AS line, 'dead' AS kind FROM symbols WHERE id NOT IN (SELECT id FROM reach)
+  UNION SELECT file, unnest(range(line::BIGINT, (line + 3)::BIGINT)), 'unfinished' FROM placed WHERE stub)
+SELECT file, line, string_agg(kind, ',' ORDER BY kind) AS marks FROM m GROUP BY file, line"""
+)
+def code_line_marks(spark, sf):
+    """The findings on each line of the scanned files."""
+    g, _, stage = _built(spark, written.typescript(spark, sf))
+    gone = dead.find_dead(g, stage, entry=(written.ENTRY,), rules=()).select("file", "line", F.lit("dead").alias("kind"), "loc")
+    todo = settings.stubs(g).select("file", "line", F.lit("unfinished").alias("kind"), F.lit(3).alias("loc"))
+    marks = report.line_marks(gone.unionByName(todo))
+    return marks.select("file", F.col("line").cast("long").alias("line"), F.array_join("marks", ",").alias("marks"))
+
+
+@query(
+    f"""WITH RECURSIVE {TYPESCRIPT_SQL} SELECT id, CASE WHEN exported THEN 'export ' ELSE '' END || 'function ' || name || '(value)' AS signature, line AS first,
+  CASE WHEN exported THEN 'export ' ELSE '' END || 'function ' || name || '(value) {{' AS text FROM symbols WHERE kind = 'function'"""
+)
+def code_snippets(spark, sf):
+    """Heads of functions: as a signature, and as the line that stands in the file."""
+    g, files, _ = _built(spark, written.typescript(spark, sf))
+    sym = g.symbols.where("kind = 'function'")
+    shown = report.snippets(files, sym.select("id", "file", "line", F.col("line").alias("end_line")))
+    return shown.join(sym.select("id", report.signature(F.col("source")).alias("signature")), "id").select("id", "signature", F.col("first").cast("long").alias("first"), "text")
+
+
+@query(
+    """SELECT doc_id, used::BIGINT AS used FROM (SELECT doc_id, sum(strlen(coalesce(text, ''))) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS used FROM documents) WHERE used <= 20000"""
+)
+def source_budget(spark, sf):
+    """As many texts of each source, in order, as fit a budget of bytes."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("source").alias("grp"), F.col("doc_id").alias("place"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"))
+    return report.within_budget(d, 20_000).select(F.col("place").alias("doc_id"), "used")
+
+
+@query(
+    f"""WITH RECURSIVE {TYPESCRIPT_SQL}, v AS (SELECT DISTINCT file, seg, n FROM c) SELECT 'named-timeouts' AS rule, seg AS key, count(DISTINCT n * 10) AS n_values, count(*) AS n_sites, arg_min((n * 10)::VARCHAR, file) AS first_value, 0.7::DOUBLE AS score
+FROM v GROUP BY seg HAVING count(DISTINCT n) >= 2 AND count(DISTINCT file) >= 3"""
+)
+def code_own_divergence(spark, sf):
+    """A project's own rule on what must have one value."""
+    g, _, _ = _built(spark, written.typescript(spark, sf))
+    rule = settings.Divergence("named-timeouts", r"const ([a-z]+)Timeout = ([0-9]+)", 1, 2, 0.7, 3)
+    return settings.divergent(settings.sources(g), rule)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -31,20 +31,34 @@ def scan(spark: SparkSession, root: str, include: tuple[str, ...] = INCLUDE, exc
     return read.load(wanted).select(name, F.decode("content", "UTF-8").alias("content"))
 
 
-def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: What reads the facts of a file, by its ending: (path, text) to rows of ``FACT`` without the last column.
+Backend = Callable[[str, str], list[tuple]]
+
+
+def default_backends() -> dict[str, Backend]:
+    """Backends by file ending; the empty one takes all other files."""
     from graphloom.sources import brace_facts, python_facts
 
-    for frame in frames:
-        rows = []
-        for file, content in zip(frame["file"], frame["content"], strict=True):
-            make = python_facts.facts if file.endswith(".py") else brace_facts.facts
-            rows += [(*f, i) for i, f in enumerate(make(file, content or ""))]
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in FACT.split(", ")])
+    return {".py": python_facts.facts, "": brace_facts.facts}
+
+
+def facts(files: DataFrame, backends: dict[str, Backend] | None = None) -> DataFrame:
+    """The fact table of (file, content); one row a declaration, reference, import, ...
+
+    ``backends`` are further ones, or others for known endings; they run on executors.
+    """
+    own = dict(backends or {})
 
+    def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = {**default_backends(), **own}
+        for frame in frames:
+            rows = []
+            for file, content in zip(frame["file"], frame["content"], strict=True):
+                make = known[max((e for e in known if file.endswith(e)), key=len)]
+                rows += [(*f, i) for i, f in enumerate(make(file, content or ""))]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in FACT.split(", ")])
 
-def facts(files: DataFrame) -> DataFrame:
-    """The fact table of (file, content); one row a declaration, reference, import, ..."""
-    return files.mapInPandas(_extract, FACT)
+    return files.mapInPandas(extract, FACT)
 
 
 def _lang(file: Column) -> Column:
@@ -73,12 +87,12 @@ def _meant(spec: Column, aliases: list[tuple[str, str]]) -> Column:
     return out
 
 
-def build(files: DataFrame, stage, aliases: list[tuple[str, str]] = ()) -> Graph:
+def build(files: DataFrame, stage, aliases: list[tuple[str, str]] = (), backends: dict[str, Backend] | None = None) -> Graph:
     """Symbols and edges of (file, content).
 
     ``aliases``: (prefix, folder) that specifiers begin with, see ``stores.aliases``.
     """
-    f = stage.cut(facts(files).withColumn("lang", _lang(F.col("file"))))
+    f = stage.cut(facts(files, backends).withColumn("lang", _lang(F.col("file"))))
     of = lambda tab: f.where(F.col("tab") == tab)
     sid = lambda file, name: F.concat(file, F.lit("#"), F.when(name == "", "<module>").otherwise(name))
     full = F.when(F.col("b") == "", F.col("a")).otherwise(F.concat_ws(".", "b", "a"))

@@ -6,6 +6,7 @@ import glob as globbing
 import json
 import os
 import re
+import subprocess
 import time
 import tomllib
 from dataclasses import dataclass, field
@@ -230,3 +231,35 @@ def load_config(root: str) -> Config:
                 setattr(c, k, tuple(v) if isinstance(v, list) and k != "rules" else v)
         break
     return c
+
+
+class Cached:
+    """A value that is made again once it is older than some seconds."""
+
+    def __init__(self, make, seconds: float = 30.0, clock=time.monotonic):
+        self.make, self.seconds, self.clock = make, seconds, clock
+        self.at: float | None = None
+        self.value = None
+
+    def get(self):
+        now = self.clock()
+        if self.at is None or now - self.at > self.seconds:
+            self.value, self.at = self.make(), now
+        return self.value
+
+
+def remote_url(root: str) -> str | None:
+    """The web address of the remote called origin, without user, password or ending."""
+    got = subprocess.run(["git", "-C", root, "remote", "get-url", "origin"], capture_output=True, text=True)
+    url = got.stdout.strip() if got.returncode == 0 else ""
+    m = re.fullmatch(r"(?:(?:https?|ssh|git)://)?(?:[^@/]+@)?([^/:]+)(?::\d+)?[/:](.+?)(?:\.git)?/?", url)
+    return f"https://{m[1]}/{m[2]}" if m else None
+
+
+def read_lines(root: str, path: str, first: int, last: int) -> list[str]:
+    """Lines of a file under a root, counted from 1; none for a file outside it."""
+    full = os.path.realpath(os.path.join(root, path))
+    if not full.startswith(os.path.realpath(root) + os.sep) or not os.path.isfile(full):
+        return []
+    with open(full, encoding="utf-8", errors="replace") as f:
+        return f.read().split("\n")[max(first, 1) - 1 : last]

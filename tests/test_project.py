@@ -112,3 +112,36 @@ def test_watch_rebuilds(spark, tree, tmp_path_factory):
             (tree / "src/new.ts").write_text("export const x = 1;\n")
         watch(spark, str(tree), lambda files: seen.append(files.count()), check, once=True).awaitTermination()
     assert seen == [3, 4]
+
+
+def test_look_ups_and_small_stores(spark, tree, capsys):
+    root = str(tree)
+    for args, want in ((["find", root, "USED"], "src/lib.ts#used"), (["why", root, "use"], "suggestion"), (["uses", root], "["), (["gaps", root], "["), (["ignores", root], "loaded by path"), (["like", root, "hourly"], "[")):
+        assert cli.main(args, spark) == 0
+        assert want in capsys.readouterr().out
+    (tree / "package.json").unlink()
+    assert cli.main(["scan", root], spark) == 0
+    assert "No entry" in capsys.readouterr().out
+    ticks = iter((0.0, 10.0, 31.0))
+    made = []
+    cached = stores.Cached(lambda: made.append(1) or len(made), 30, lambda: next(ticks))
+    assert [cached.get() for _ in range(3)] == [1, 1, 2]
+    assert stores.read_lines(root, "src/index.ts", 2, 2) == ["used();"] and stores.read_lines(root, "../x", 1, 2) == []
+    git = lambda *a: subprocess.run(["git", "-C", root, *a], check=True, capture_output=True)
+    git("init", "-q")
+    assert stores.remote_url(root) is None
+    git("remote", "add", "origin", "git@example.org:a/b.git")
+    assert stores.remote_url(root) == "https://example.org/a/b"
+
+
+def test_backends_and_the_public_interface(spark):
+    import graphloom
+    from graphloom.plans.staging import Stage
+
+    def notes(path, text):
+        return [("decl", path, i + 1, line.split()[1], "", "function", str(i + 1)) for i, line in enumerate(text.split("\n")) if line.startswith("make ")]
+
+    df = spark.createDataFrame([("a.note", "make tea\nmake toast\n")], "file string, content string")
+    g = graphloom.build(df, Stage(spark), backends={".note": notes})
+    assert {r.id for r in g.symbols.where("kind = 'function'").collect()} == {"a.note#tea", "a.note#toast"}
+    assert all(getattr(graphloom, n) for n in graphloom.__all__)
