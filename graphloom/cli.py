@@ -8,7 +8,7 @@ import sys
 
 from pyspark.sql import functions as F
 
-VERBS = ("scan", "dead", "duplicates", "drift", "contradictions", "unfinished", "concepts", "why", "blast", "find", "like", "uses", "gaps", "ignores", "check", "budget", "dismiss", "intent", "trend", "report")
+VERBS = ("scan", "dead", "duplicates", "drift", "contradictions", "unfinished", "concepts", "why", "blast", "find", "like", "uses", "gaps", "ignores", "check", "budget", "dismiss", "intent", "trend", "report", "tools")
 
 
 def main(args: list[str] | None = None, spark=None) -> int:
@@ -43,6 +43,11 @@ def main(args: list[str] | None = None, spark=None) -> int:
         points = project.trend(spark, a.root)
         print(json.dumps(points, indent=2) if a.json else f"load-bearing {project.sparkline([x['load_bearing'] for x in points])}")
         return 0
+    if a.verb == "tools":
+        from graphloom.tools import Tools, serve
+
+        serve(Tools(spark, a.root), sys.stdin, sys.stdout)
+        return 0
     s = project.scan(spark, a.root, tuple(a.coverage))
     if a.verb == "check":
         rows = project.check_budget(s, a.root)
@@ -68,7 +73,7 @@ def main(args: list[str] | None = None, spark=None) -> int:
     elif a.verb == "like":
         needs = spark.createDataFrame([(0, " ".join(a.rest))], "need int, text string")
         own = s.graph.symbols.where(F.col("kind").isin("function", "method", "class"))
-        rows = [r.asDict() for r in lookup.similar_code(own, needs).orderBy("place").collect()]
+        rows = [r.asDict() for r in lookup.similar_code(own, needs, a.limit, identifiers=True).orderBy("place").collect()]
     elif a.verb in ("uses", "gaps"):
         sym = s.graph.symbols.where("kind <> 'module'")
         told = spark.createDataFrame([(x,) for x in stores.intents(a.root)], "symbol string")
@@ -83,8 +88,7 @@ def main(args: list[str] | None = None, spark=None) -> int:
         rows = [r.asDict() for r in project.worklist(s, a.limit).collect()]
     out = {"stats": {k: int(v) for k, v in s.stats.items()}, "rows": rows}
     if a.verb == "report":
-        data = json.dumps(out).replace("<", "\\u003c").replace(">", "\\u003e").replace("&", "\\u0026")
-        print(f"<!doctype html><meta charset=utf-8><title>graphloom</title><pre id=o></pre><script>const d={data};o.textContent=JSON.stringify(d,null,2)</script>")
+        print(project.page(s, out))
     elif a.json or a.verb in ("why", "blast", "concepts", "find", "like", "uses", "gaps", "ignores"):
         print(json.dumps(out if a.verb == "scan" else rows, indent=2, default=str))
     else:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
-from graphloom.operators import graph, similar
+from graphloom.operators import dupes, graph, similar
 
 #: A need's words against a body's, and against a name's; what a hit and a best hit reach.
 BODY, NAME, LEAST, BEST = 0.7, 0.3, 0.15, 0.3
@@ -26,16 +26,18 @@ def load_bearing(symbols: DataFrame, edges: DataFrame, limit: int = 50, least_lo
     return called.select("id", "callers", T.round2(F.col("callers") * F.log2(F.col("loc") + 2)).alias("weight")).orderBy(F.desc("weight"), "id").limit(limit)
 
 
-def similar_code(symbols: DataFrame, needs: DataFrame, limit: int = 5) -> DataFrame:
+def similar_code(symbols: DataFrame, needs: DataFrame, limit: int = 5, identifiers: bool = False) -> DataFrame:
     """(need, id, score, place): for each need (need, text) the symbols most like it.
 
     Cosine of the words, and the share of the name's words that the need holds;
-    needs without a convincing best hit have none.
+    needs without a convincing best hit have none. With ``identifiers`` the words
+    are those that names and code are made of, stemmed.
     """
-    bag = similar.weighted_bags(symbols)
-    req = needs.select("need", F.explode(T.words(F.col("text"))).alias("term")).where((F.length("term") >= 2) & ~F.col("term").isin(*T.STOP))
+    cut = T.split_identifier if identifiers else T.words
+    bag = dupes.vocabulary_bag(symbols) if identifiers else similar.weighted_bags(symbols)
+    req = needs.select("need", F.explode(cut(F.col("text"))).alias("term")).where((F.length("term") >= 2) & ~F.col("term").isin(*T.STOP))
     req = req.groupBy("need", "term").agg(F.count("*").alias("rw"))
-    names = symbols.select("id", F.explode(T.words(F.col("name"))).alias("term")).distinct().withColumn("named", F.lit(1))
+    names = symbols.select("id", F.explode(cut(F.col("name"))).alias("term")).distinct().withColumn("named", F.lit(1))
     hit = req.join(bag, "term").join(names, ["id", "term"], "left").groupBy("need", "id").agg(F.sum(F.col("rw") * F.col("w")).alias("dot"), F.count("named").alias("shared"))
     rn = req.groupBy("need").agg(F.sum(F.col("rw") * F.col("rw")).alias("rn"))
     bn = bag.groupBy("id").agg(F.sum(F.col("w") * F.col("w")).alias("bn"))

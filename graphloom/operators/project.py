@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import subprocess
 from dataclasses import dataclass
 
@@ -132,3 +133,27 @@ def sparkline(values: list[float]) -> str:
         return ""
     lo, hi = min(values), max(values)
     return "".join(BLOCKS[3] if hi == lo else BLOCKS[min(7, int((v - lo) / (hi - lo) * 8))] for v in values)
+
+
+def page(s: Scan, out: dict) -> str:
+    """One HTML page: the headline, the worklist, and files as boxes by their lines and findings."""
+    from html import escape
+
+    from graphloom.operators.treemap import squarify
+
+    sized = s.graph.symbols.where("kind <> 'module' and container = ''").groupBy("file").agg(F.sum("loc").alias("loc"))
+    heat = compare.file_weights(s.findings).select("file", "weight", "n")
+    files = sized.join(heat, "file", "left").orderBy(F.desc("loc"), "file").limit(200).collect()  # what a page can show
+    boxes = squarify([max(1, r.loc or 0) for r in files], 0, 0, 1000, 500)
+    hottest = max((r.weight or 0.0 for r in files), default=0.0) or 1.0
+    shapes = "".join(
+        f'<rect x="{x:.1f}" y="{y:.1f}" width="{w:.1f}" height="{h:.1f}" fill="hsl(10 70% {92 - 45 * (r.weight or 0) / hottest:.0f}%)" stroke="#fff"><title>{escape(r.file)}: {r.loc} lines, {r.n or 0} findings</title></rect>'
+        for r, (x, y, w, h) in zip(files, boxes, strict=True)
+    )
+    head = " &middot; ".join(f"{escape(k.replace('_', ' '))} <b>{v}</b>" for k, v in out["stats"].items())
+    rows = "".join("<tr>" + "".join(f"<td>{escape(str(r.get(c, '')))}" for c in ("severity", "weight", "kind", "title", "file", "line")) for r in out["rows"])
+    data = json.dumps(out, default=str).replace("<", "\\u003c").replace(">", "\\u003e").replace("&", "\\u0026")
+    return (
+        "<!doctype html><meta charset=utf-8><title>graphloom</title><style>body{font:14px sans-serif;margin:2em}td{padding:2px 10px 2px 0}</style>"
+        f"<p>{head}</p><svg viewBox='0 0 1000 500'>{shapes}</svg><table>{rows}</table><script type=application/json id=data>{data}</script>"
+    )

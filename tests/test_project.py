@@ -145,3 +145,23 @@ def test_backends_and_the_public_interface(spark):
     g = graphloom.build(df, Stage(spark), backends={".note": notes})
     assert {r.id for r in g.symbols.where("kind = 'function'").collect()} == {"a.note#tea", "a.note#toast"}
     assert all(getattr(graphloom, n) for n in graphloom.__all__)
+
+
+def test_tools_and_page(spark, tree, capsys):
+    import io
+
+    from graphloom.tools import NAMES, Tools, serve
+
+    (tree / "src/lib.ts").write_text(CODE["src/lib.ts"] + "export function formatDuration(ms) {\n  const minutes = ms / 60000;\n  return minutes + 'm';\n}\n")
+    asked = [("find_symbol", {"name": "used"}), ("check_before_writing", {"need": "format a duration in minutes"}), ("why", {"symbol": "src/lib.ts#used"}), ("blast_radius", {"symbol": "src/lib.ts#used"}), ("list_findings", {"kinds": ["unfinished"]}), ("load_bearing", {}), ("set_intent", {"symbol": "src/lib.ts#used", "purpose": "is used"}), ("get_intent", {"words": "used"}), ("intent_gaps", {}), ("read_source", {"path": "src/index.ts", "last": 1}), ("nothing", {}), ("why", {"x": 1})]
+    out = io.StringIO()
+    serve(Tools(spark, str(tree)), [json.dumps({"tool": t, "args": a}) + "\n" for t, a in asked] + ["\n", "{"], out)
+    got = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert len(got) == len(asked) + 1 and len(NAMES) == 11
+    assert got[0]["result"][0]["id"] == "src/lib.ts#used" and got[1]["result"][0]["id"] == "src/lib.ts#formatDuration"
+    assert {"relation": "caller", "id": "src/index.ts#<module>"} in got[2]["result"] and got[4]["result"][0]["kind"] == "unfinished"
+    assert got[7]["result"][0]["symbol"] == "src/lib.ts#used" and got[9]["result"] == ["import { used } from './lib';"]
+    assert all("error" in x for x in got[-3:])
+    assert cli.main(["report", str(tree)], spark) == 0
+    html = capsys.readouterr().out
+    assert html.count("<rect") == 2 and "export_pdf is not implemented" in html
