@@ -148,3 +148,33 @@ def test_same_result_with_other_partitions(spark, small):
         assert sorted(map(tuple, registry.QUERIES["dup_components"](spark, small).collect())) == one
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_few_files_and_names_of_any_form(spark):
+    from pyspark.sql import functions as F
+
+    from graphloom.plans.columns import fresh, quoted
+    from graphloom.plans.staging import Stage, few_files, input_bytes
+
+    wide = spark.range(0, 1000, 1, 64)
+    assert few_files(wide).rdd.getNumPartitions() == 8 and input_bytes(wide) > 0
+    stage = Stage(spark)
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    cut = stage.cut(wide.groupBy((F.col("id") % 7).alias("k")).count())
+    assert {r["count"] for r in cut.collect()} == {142, 143} and spark.conf.get(name) == before
+    odd = spark.range(1).select(F.lit(1).alias("a.b"), F.lit(2).alias("_x"), F.lit(3).alias("c`d"))
+    assert fresh(odd, "x", "x", "y") == ["_x_1", "_x_2", "_y"]
+    assert odd.select(*quoted(odd.columns)).columns == odd.columns
+
+
+def test_report_pieces(spark):
+    from graphloom.operators import report
+
+    files = spark.createDataFrame([("a", "one\ntwo\nthree"), ("b", "")], "file string, content string")
+    spans = spark.createDataFrame([(1, "a", 2, 2), (2, "a", 3, 9), (3, "b", 1, 1), (4, "gone", 1, 1)], "id int, file string, line int, end_line int")
+    got = {r.id: (r.first, r.text) for r in report.snippets(files, spans, 1).collect()}
+    assert got == {1: (1, "one\ntwo\nthree"), 2: (2, "two\nthree"), 3: (1, "")}
+    assert report.lines_of(files).count() == 4
+    marks = report.line_marks(spark.createDataFrame([("a", 2, "dead", 2), ("a", 3, "drift", 0)], "file string, line int, kind string, loc int"))
+    assert {(r.line, tuple(r.marks)) for r in marks.collect()} == {(2, ("dead",)), (3, ("dead", "drift"))}
