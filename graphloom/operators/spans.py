@@ -19,19 +19,32 @@ def innermost(ranges: DataFrame, sites: DataFrame) -> DataFrame:
     return hit.groupBy("site").agg(F.max_by("seq", F.struct(F.col("from"), -F.col("seq"))).alias("seq"))
 
 
+def _blocks(first: str, last: str, width: int):
+    """The stretches that a range touches, one row each."""
+    return F.explode(F.sequence(F.floor(F.col(first) / width), F.floor(F.col(last) / width)))
+
+
+#: Lines, and characters, of a stretch: what a file's ranges are dealt by, so that no file is one hot key.
+LINES, CHARACTERS = 64, 4096
+
+
 def executed(ranges: DataFrame, lines: DataFrame) -> DataFrame:
-    """Ranges (file, seq, line, end_line) with an executed line (file, line)."""
-    seen = lines.select(F.col("file").alias("f"), F.col("line").alias("at")).distinct()
-    return ranges.join(seen, (ranges["file"] == seen["f"]) & (seen["at"] >= ranges["line"]) & (seen["at"] <= ranges["end_line"]), "left_semi")
+    """Ranges (file, line, end_line, ...) with an executed line (file, line)."""
+    seen = lines.select("file", F.col("line").alias("at"), F.floor(F.col("line") / LINES).alias("block")).distinct()
+    dealt = ranges.select("file", "line", "end_line").distinct().withColumn("block", _blocks("line", "end_line", LINES))
+    hit = dealt.join(seen, ["file", "block"]).where("at >= line and at <= end_line").select("file", "line", "end_line").distinct()
+    return ranges.join(hit, ["file", "line", "end_line"], "left_semi").select(*ranges.columns)
 
 
 def paint(lines: DataFrame, painters: DataFrame) -> DataFrame:
     """(file, line, executed): the narrowest painter over a line decides, the later of equals.
 
-    ``painters``: (file, start, stop, hit boolean, seq). A painter that did not
-    run applies only to lines wholly inside it.
+    ``lines``: (file, line, line_start, line_stop); ``painters``: (file, start, stop,
+    hit boolean, seq). A painter that did not run applies only to lines wholly inside it.
     """
-    hit = lines.join(painters, "file").where("start <= line_stop and stop >= line_start").where("hit or (start <= line_start and stop >= line_stop)")
+    on = lines.withColumn("block", _blocks("line_start", "line_stop", CHARACTERS))
+    by = painters.withColumn("block", _blocks("start", "stop", CHARACTERS))
+    hit = on.join(by, ["file", "block"]).where("start <= line_stop and stop >= line_start").where("hit or (start <= line_start and stop >= line_stop)")
     width = F.col("stop") - F.col("start")
     return hit.groupBy("file", "line").agg(F.max_by("hit", F.struct(-width, F.col("seq"))).alias("executed"))
 
