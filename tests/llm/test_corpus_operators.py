@@ -261,7 +261,6 @@ def brute_simhash(rows, k):
 def test_simhash_is_brute_force(spark, small, run, monkeypatch):
     monkeypatch.setattr(simhash, "RUN", run)
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()] + [x for x in ODD if x[0] is not None]
-    rows = [(i, t[:300] if t else t) for i, t in rows]
     r = random.Random(8)
     base = [f"w{i}" for i in range(300)]
     for i in range(40):
