@@ -178,3 +178,18 @@ def test_report_pieces(spark):
     assert report.lines_of(files).count() == 4
     marks = report.line_marks(spark.createDataFrame([("a", 2, "dead", 2), ("a", 3, "drift", 0)], "file string, line int, kind string, loc int"))
     assert {(r.line, tuple(r.marks)) for r in marks.collect()} == {(2, ("dead",)), (3, ("dead", "drift"))}
+
+
+def test_similar_pairs_of_blocks_lose_no_pair(spark, small):
+    """The pairs that blocks find are those of the joins, whatever the size of a block."""
+    from graphloom.plans.staging import Stage
+    from graphloom.sources import tables
+
+    sym = tables.symbols(spark, small)
+    extra = spark.createDataFrame([("x#1", -1, None), ("x#2", -2, ""), ("x#3", -3, "! ?"), ("x#4", -4, "rareword zweites"), ("x#5", -5, "Rareword ZWEITES"), ("x#6", -6, "rareword zweites")], "id string, seq long, body string")
+    sym = sym.select("id", "seq", "body").unionByName(extra)
+    bag = similar.bags(sym)
+    want = sorted(map(tuple, similar.cosine(bag, similar.candidate_pairs(sym, bag), 0.9).collect()))
+    assert ("x#6", "x#4", 1.0) in [(a, b, round(s, 9)) for a, b, s in want]
+    for block in (100_000, 400):
+        assert sorted(map(tuple, similar.similar_pairs(sym, 0.9, Stage(spark), block=block).collect())) == want
