@@ -186,7 +186,7 @@ def test_similar_pairs_of_blocks_lose_no_pair(spark, small):
     from graphloom.sources import tables
 
     sym = tables.symbols(spark, small)
-    extra = spark.createDataFrame([("x#1", -1, None), ("x#2", -2, ""), ("x#3", -3, "! ?"), ("x#4", -4, "rareword zweites"), ("x#5", -5, "Rareword ZWEITES"), ("x#6", -6, "rareword zweites")], "id string, seq long, body string")
+    extra = spark.createDataFrame([("x#1", -1, None), ("x#2", -2, ""), ("x#3", -3, "! ?"), ("x#4", -4, "rareword zweites"), ("x#5", -5, "Rareword ZWEITES"), ("x#6", -6, "rareword zweites"), ("x#7", -7, "erstword one"), ("x#7", -8, "erstword two"), ("x#8", -9, "erstword one two erstword")], "id string, seq long, body string")
     sym = sym.select("id", "seq", "body").unionByName(extra)
     bag = similar.bags(sym)
     want = sorted(map(tuple, similar.cosine(bag, similar.candidate_pairs(sym, bag), 0.9).collect()))
