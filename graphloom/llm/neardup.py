@@ -1,20 +1,24 @@
-"""Dropping near copies: MinHash candidates, exact shingle similarity decides.
-
-Links are proposed on what is decided: ``BANDS`` bands of ``ROWS`` minima over a
-document's distinct word shingles, so only the Jaccard similarity counts, not
-where or how a copy was changed. Rows of an equal band are linked where their
-sketches, one bit of each minimum, are near. The members of each group of linked
-documents are compared with its smallest id first, which settles large groups of
-near copies in one comparison a member. What is left of a group is compared with
-all its members in blocks: each pair of blocks is one task that holds both, counts
-shared shingles as a product of incidence matrices and returns the members left
-that are near copies of an earlier one; pairs are never rows.
+"""Dropping near copies: SimHash blocks propose, exact shingle similarity decides.
+
+A document's fingerprint is the SimHash of its distinct word shingles, wide
+enough for ``blocks`` blocks of ``bits`` bits. Sets of Jaccard similarity s have a
+cosine of 2s / (1 + s) or more, wherever they differ, so a bit agrees with the
+probability ``agreement(s)`` or more, and ``plan`` takes as many blocks as leave a
+pair without an equal one with the probability ``MISS``. Rows of an equal block are
+linked where the first 256 bits of their fingerprints are near. The members of each
+group of linked documents are compared with its smallest id first, which settles
+large groups of near copies in one comparison a member. What is left of a group is
+compared with all its members in blocks: each pair of blocks is one task that holds
+both, counts shared shingles as a product of incidence matrices and returns the
+members left that are near copies of an earlier one; pairs are never rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,42 +34,84 @@ from graphloom.plans.staging import Stage
 SHINGLE, SIMILARITY = 5, 0.8
 #: Members of a block, and shingles of one incidence matrix.
 BLOCK, COLUMNS = 256, 20_000
-#: Minima of a signature, and their bands. At similarity 0.8 a band agrees with
-#: probability 0.8**5, so all 51 miss a pair with probability 2e-9; above it less.
-MINIMA, ROWS, BANDS = 256, 5, 51
-#: Bits in which the sketches of a linked pair differ at most. At similarity 0.8
-#: 26 are expected with a standard deviation of 4.8; this is seven of them beyond.
-FAR = 60
-#: Rows of one band value that a single comparison takes; longer ones are sliced.
+#: Probability that a pair of just the similarity has no equal block.
+MISS = 1e-9
+#: A block has 12 bits, or as many as leave a value at most 256 unrelated rows.
+LEAST_BITS, SHARE = 12, 8
+#: Blocks whose rows lie on disk at a time.
+ROUND = 48
+#: Rows of one block value that a single comparison takes; longer ones are sliced.
 RUN = 1024
-_TIMES = np.array([xxhash.xxh32_intdigest(b"times%d" % i) | 1 for i in range(MINIMA)], np.uint32)[:, None]
-_PLUS = np.array([xxhash.xxh32_intdigest(b"plus%d" % i) for i in range(MINIMA)], np.uint32)[:, None]
+#: Long block values that are broadcast at most; more are joined by shuffle.
+MAX_BROADCAST = 20_000
+#: Fingerprints made at a time, and shingles of one that are counted at a time.
+TOGETHER, CHUNK = 32, 4096
 SKETCH = ("s0", "s1", "s2", "s3")
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """The least value of the shingle hashes under each of the permutations."""
-    h = (shingles.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
-    least = np.full(MINIMA, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(h), 1024):
-        np.minimum(least, (h[None, at : at + 1024] * _TIMES + _PLUS).min(axis=1), out=least)
-    return least
+def agreement(similarity: float) -> float:
+    """The least probability with which a bit agrees at this Jaccard similarity."""
+    return 1 - math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
 
 
-def sketches(signatures: np.ndarray) -> np.ndarray:
-    """One bit of each minimum, as four words a row."""
-    bits = (signatures * np.uint32(0x9E3779B1)) >> np.uint32(31)
-    return np.packbits(bits.astype(np.uint8), axis=1).view(np.uint64)
+def plan(n: int, similarity: float) -> tuple[int, int, int]:
+    """Bits of a block, number of blocks, and bits of 256 that differ at most, for ``n`` rows.
 
+    The radius is seven standard deviations beyond the mean of the similarity.
+    """
+    p = agreement(similarity)
+    bits = min(32, max(LEAST_BITS, max(n - 1, 0).bit_length() - SHARE))
+    blocks = max(1, math.ceil(math.log(MISS) / math.log1p(-min(p**bits, 1 - MISS))))
+    return bits, blocks, math.ceil(256 * (1 - p) + 7 * math.sqrt(256 * p * (1 - p)))
+
+
+def width(bits: int, blocks: int) -> int:
+    """Bits of a fingerprint: whole words that hold the blocks and the sketch."""
+    return max(256, -(-bits * blocks // 64) * 64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+@lru_cache(maxsize=2)
+def _weights(spots: int) -> np.ndarray:
+    """(spots, 128, 8) whole numbers, each near normal: the weights of eight bits for a value of seven."""
+    seed = _mixed(np.arange(1, spots * 1024 + 1, dtype=np.uint64) * _GOLDEN)
+    return ((seed.view(np.uint8).reshape(-1, 8).sum(axis=1, dtype=np.int64) - 1020) // 8).astype(np.float32).reshape(spots, 128, 8)
 
-def bands(signatures: np.ndarray) -> np.ndarray:
-    """A 32-bit value for each band."""
-    x = signatures[:, : ROWS * BANDS].reshape(-1, BANDS, ROWS).astype(np.uint64)
-    key = np.zeros(x.shape[:2], np.uint64)
-    for i in range(ROWS):
-        key = (key ^ x[:, :, i]) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(32)
-    return key.astype(np.uint32)
+
+def fingerprints(sets: list[np.ndarray], width: int) -> np.ndarray:
+    """SimHash of shingle sets, ``width`` bits packed in bytes a row; an empty set gives zeros.
+
+    A bit is set if the sum of its weights over the shingles is over zero. Each
+    byte of a shingle's hash, one of ``width / 8``, gives it the weights of eight
+    bits: seven bits name them, one is their sign. So unrelated sets have no
+    direction in common, and sums are whole numbers that no order changes.
+    """
+    spots = width // 8
+    steps = np.arange(1, width // 64 + 1, dtype=np.uint64) * _GOLDEN
+    first = np.arange(spots, dtype=np.int64) * 256
+    out = np.zeros((len(sets), spots), np.uint8)
+    for at in range(0, len(sets), TOGETHER):
+        some = sets[at : at + TOGETHER]
+        # every sum of weights up to 128 is below 2**24, so float32 holds it
+        kind = np.float32 if max(map(len, some)) < 1 << 17 else np.float64
+        counts = np.zeros((spots, len(some), 128), kind)
+        for i, one in enumerate(some):
+            seen = np.zeros(spots * 256, np.int64)
+            for a in range(0, len(one), CHUNK):
+                h = _mixed(one[a : a + CHUNK].view(np.uint64)[:, None] + steps[None, :])
+                seen += np.bincount((h.view(np.uint8) + first).ravel(), minlength=spots * 256)
+            seen = seen.reshape(spots, 2, 128)
+            counts[:, i] = seen[:, 0] - seen[:, 1]
+        sums = np.matmul(counts, _weights(spots).astype(kind, copy=False))
+        # neighbouring bits are of different bytes
+        out[at : at + len(some)] = np.packbits((sums > 0).transpose(1, 2, 0).reshape(len(some), -1), axis=1)
+    return out
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -82,27 +128,41 @@ def _sha(text: str) -> Column:
     return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _prints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = [t.as_py() or "" for t in b.column(1)]
         sha = pa.array([hashlib.sha256(t.encode()).digest()[:16] for t in texts], pa.binary())
-        sig = np.array([signature(shingle_set(t)) for t in texts], np.uint32).reshape(-1, MINIMA)
-        fp = pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sig], np.uint64).view(np.int64))
-        words = sketches(sig).view(np.int64)
-        values = pa.array(list(bands(sig).view(np.int32)), pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([b.column(0), sha, fp, *[pa.array(words[:, i]) for i in range(4)], values], names=["doc_id", "sha", "fp", *SKETCH, "bands"])
-
-
-def _span(sketch: np.ndarray, side: np.ndarray | None) -> np.ndarray:
+        made = [x.tobytes() for at in range(0, len(texts), TOGETHER) for x in fingerprints([shingle_set(t) for t in texts[at : at + TOGETHER]], width)]
+        fp = pa.array(np.array([xxhash.xxh64_intdigest(x) for x in made], np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([b.column(0), sha, fp, pa.array(made, pa.binary())], names=["doc_id", "sha", "fp", "bits"])
+
+
+def _keyed(batches: Iterator[pa.RecordBatch], bits: int, start: int, stop: int) -> Iterator[pa.RecordBatch]:
+    """A row for each fingerprint and each of its blocks from ``start`` to before ``stop``."""
+    powers = 1 << np.arange(bits, dtype=np.int64)
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1024):
+            b = whole.slice(at, 1024)
+            packed = np.frombuffer(b"".join(x.as_py() for x in b.column(1)), np.uint8).reshape(b.num_rows, -1)
+            blocks = np.unpackbits(packed, axis=1)[:, bits * start : bits * stop].reshape(b.num_rows, stop - start, bits)
+            key = (blocks @ powers) | (np.arange(start, stop, dtype=np.int64) << 32)
+            words = np.ascontiguousarray(packed[:, :32]).view(np.int64)
+            cols = [key.ravel(), *(np.repeat(x, stop - start) for x in (b.column(0).to_numpy(), *words.T))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "rep", *SKETCH])
+
+
+def _span(sketch: np.ndarray, side: np.ndarray | None, far: int) -> np.ndarray:
     """For each row the position of a row of its group; equal iff linked within these rows."""
     bits = np.zeros((len(sketch), len(sketch)), np.uint16)
     for word in sketch.T:
         bits += np.bitwise_count(word[:, None] ^ word[None, :])
-    near = bits <= FAR
+    near = bits <= far
     if side is not None:
         near &= side[:, None] != side[None, :]
         np.fill_diagonal(near, True)
     label = np.arange(len(sketch), dtype=np.int32)
+    if np.count_nonzero(near) == len(label):
+        return label
     while True:
         new = np.where(near, label[None, :], np.int32(len(sketch))).min(axis=1)
         new = np.minimum(new, new[new])
@@ -111,7 +171,7 @@ def _span(sketch: np.ndarray, side: np.ndarray | None) -> np.ndarray:
         label = new
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch], far: int) -> Iterator[pa.RecordBatch]:
     """Links between rows of equal (key, part); the input is sorted by these."""
 
     def out(a, b):
@@ -134,11 +194,11 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts, ends = starts[:-1], ends[:-1]
         sketch = np.stack([c.view(np.uint64) for c in cols[4:]], axis=1)
         two = starts[ends - starts == 2]
-        close = two[np.bitwise_count(sketch[two] ^ sketch[two + 1]).sum(axis=1, dtype=np.int64) <= FAR]
+        close = two[np.bitwise_count(sketch[two] ^ sketch[two + 1]).sum(axis=1, dtype=np.int64) <= far]
         if len(close):
             yield out(rep[close], rep[close + 1])
         for s, e in zip(starts[ends - starts > 2], ends[ends - starts > 2], strict=True):
-            label = _span(sketch[s:e], side[s:e] if side[s] != side[e - 1] else None)
+            label = _span(sketch[s:e], side[s:e] if side[s] != side[e - 1] else None, far)
             own = np.flatnonzero(label != np.arange(e - s))
             if len(own):
                 yield out(rep[s:e][own], rep[s:e][label[own]])
@@ -146,23 +206,29 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return
 
 
-def band_links(reps: DataFrame) -> DataFrame:
-    """Distinct ``(rep, sketch, bands)`` to links ``(a, b)`` that span the near rows of each band value."""
-    keyed = reps.select("rep", *SKETCH, F.posexplode("bands").alias("band", "value"))
-    keyed = keyed.select(F.shiftleft(F.col("band").cast("long"), 32).bitwiseXOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"), "rep", *SKETCH)
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    keyed = keyed.join(sizes, "key")
-    small = keyed.where(F.col("size") <= RUN).select("key", F.lit(0).alias("part"), F.lit(0).alias("side"), "rep", *SKETCH)
-    # slices of a long run: every pair of slices is one part, so no task holds the run
-    slices = F.ceil(F.col("size") / (RUN // 2)).cast("int")
-    big = (
-        keyed.where(F.col("size") > RUN)
-        .select("key", slices.alias("n"), F.pmod(F.xxhash64("rep"), slices).cast("int").alias("side"), "rep", *SKETCH)
-        .select("*", F.explode(F.expr("sequence(0, n - 1)")).alias("other"))
-        .select("key", (F.lit(1) + F.least("side", "other") * F.col("n") + F.greatest("side", "other")).alias("part"), "side", "rep", *SKETCH)
-    )
-    dealt = small.unionByName(big).repartition("key", "part").sortWithinPartitions("key", "part", "side", "rep")
-    return dealt.mapInArrow(_links, "a long, b long")
+def block_links(reps: DataFrame, stage: Stage, bits: int, blocks: int, far: int) -> DataFrame:
+    """Distinct ``(rep, bits)`` to links ``(a, b)`` that span the near rows of each value of each block."""
+    out = None
+    for start in range(0, blocks, ROUND):
+        stop = min(start + ROUND, blocks)
+        schema = "key long, rep long, " + ", ".join(f"{x} long" for x in SKETCH)
+        keyed = reps.select("rep", "bits").mapInArrow(lambda it, a=start, b=stop: _keyed(it, bits, a, b), schema)
+        long = stage.cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > RUN))
+        n = long.count()
+        if not n:
+            dealt = keyed.select("key", F.lit(0).alias("part"), F.lit(0).alias("side"), "rep", *SKETCH)
+        else:
+            keyed = keyed.join(F.broadcast(long) if n <= MAX_BROADCAST else long, "key", "left")
+            # slices of a long run: every pair of slices is one part, so no task holds the run
+            slices = F.ceil(F.coalesce("size", F.lit(0)) / (RUN // 2)).cast("int")
+            keyed = keyed.select("key", slices.alias("n"), "rep", *SKETCH).withColumn("side", F.when(F.col("n") > 0, F.pmod(F.xxhash64("rep"), F.col("n"))).otherwise(0).cast("int"))
+            dealt = keyed.select("*", F.explode(F.expr("sequence(0, greatest(n - 1, 0))")).alias("other"))
+            part = F.when(F.col("n") > 0, F.lit(1) + F.least("side", "other") * F.col("n") + F.greatest("side", "other")).otherwise(0)
+            dealt = dealt.select("key", part.alias("part"), "side", "rep", *SKETCH)
+        dealt = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "side")
+        links = stage.cut(dealt.mapInArrow(lambda it: _links(it, far), "a long, b long").distinct())
+        out = links if out is None else out.unionByName(links)
+    return out
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,16 +271,16 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, stage: Sta
     any name stay as they are; an empty table gives no row.
     """
     stage = stage or Stage(docs.sparkSession)
-    kept = ["fp", *SKETCH, "bands"]
-    schema = "doc_id long, sha binary, fp long, " + ", ".join(f"{x} long" for x in SKETCH) + ", bands array<int>"
-    rows = stage.cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch, schema))
+    bits, blocks, far = plan(docs.count(), similarity)
+    kept, wide = ["fp", "bits"], width(bits, blocks)
+    schema = "doc_id long, sha binary, fp long, bits binary"
+    rows = stage.cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _prints(it, wide), schema))
     once = stage.cut(rows.groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct(*kept)).alias("x")).select("sha", "doc_id", "x.*"))
     live = once.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("sha", *kept)).alias("x"))
     live = stage.cut(live.select(F.col("doc_id").alias("node"), "x.*"))
-    reps = live.groupBy("fp").agg(F.min(F.struct("node", *SKETCH, "bands")).alias("x"))
-    reps = stage.cut(reps.select("fp", F.col("x.node").alias("rep"), *[f"x.{c}" for c in kept[1:]]))
+    reps = stage.cut(live.groupBy("fp").agg(F.min(F.struct("node", "bits")).alias("x")).select("fp", F.col("x.node").alias("rep"), "x.bits"))
     equal = live.select("node", "fp").join(reps.select("fp", "rep"), "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    groups = stage.cut(connected_components(band_links(reps).unionByName(equal), stage))
+    groups = stage.cut(connected_components(block_links(reps, stage, bits, blocks, far).unionByName(equal), stage))
     gone = None
     if not groups.isEmpty():
         wanted = groups.join(live, "node").select("node", "sha")

@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from graphloom.llm import ann, bpe, chat, decontaminate, licenses, neardup, pii, queries, simhash, suffixes, toxicity, urls
+from graphloom.plans.staging import Stage
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string, base int, key int, h long, node string, fp string"
@@ -333,6 +334,69 @@ def test_copies_of_a_copy_of_the_root_go(spark, block, monkeypatch):
     assert sorted(x.doc_id for x in neardup.drop_near_copies(docs(spark, rows)).collect()) == want
 
 
+def some_sets(seed, sizes):
+    """Pairs of shingle sets (a, b) of Jaccard similarity just 0.8 or above, one in the other or of like size."""
+    r = np.random.default_rng(seed)
+    for n in sizes:
+        for a, b in ((4 * n, 5 * n), (9 * n, 9 * n)):
+            both = 4 * n if a != b else 8 * n
+            u = r.integers(-(2**63), 2**63 - 1, a + b - both)
+            yield np.sort(u[:a]), np.sort(u[a - both :])
+
+
+def test_simhash_blocks_propose_pairs_of_the_similarity():
+    bits, blocks, far = neardup.plan(50_000, 0.8)
+    assert (1 - neardup.agreement(0.8) ** bits) ** blocks <= neardup.MISS
+    wide = neardup.width(bits, blocks)
+    agree = []
+    for a, b in some_sets(1, [1, 1, 1, 2, 3, 10, 40, 200, 1100] * 4):
+        x, y = np.unpackbits(neardup.fingerprints([a, b], wide), axis=1)
+        cosine = len(np.intersect1d(a, b)) / (len(a) * len(b)) ** 0.5
+        agree.append((x == y).mean() - (1 - np.arccos(cosine) / np.pi))
+        same = (x == y)[: bits * blocks].reshape(blocks, bits).all(axis=1)
+        assert same.any() and (x != y)[:256].sum() <= far
+    assert abs(np.mean(agree)) < 0.01
+    other = [np.unpackbits(neardup.fingerprints([a, -a], wide), axis=1) for a, _ in some_sets(2, [5, 1000])]
+    assert all(0.4 < (x == y).mean() < 0.6 for x, y in other)
+    assert not neardup.fingerprints([np.zeros(0, np.int64)], wide).any()
+
+
+@pytest.mark.parametrize("run", [1024, 4])
+def test_block_links_are_brute_force(spark, run, monkeypatch):
+    monkeypatch.setattr(neardup, "RUN", run)
+    monkeypatch.setattr(neardup, "ROUND", 24)
+    bits, blocks, far = 6, 50, 79
+    sets = [x for pair in some_sets(3, [2, 4, 30] * 5) for x in pair] + [np.arange(30, dtype=np.int64) * 99 + (np.arange(30) == i) for i in range(25)]
+    prints = neardup.fingerprints(sets, neardup.width(bits, blocks))
+    flat = np.unpackbits(prints, axis=1)
+    key = flat[:, : bits * blocks].reshape(len(sets), blocks, bits)
+    want = list(range(len(sets)))
+    for b in range(len(sets)):
+        for a in range(b):
+            if (key[a] == key[b]).all(axis=1).any() and (flat[a, :256] != flat[b, :256]).sum() <= far:
+                want = [min(want[a], want[b]) if w in (want[a], want[b]) else w for w in want]
+    reps = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(prints)], "rep long, bits binary")
+    got = list(range(len(sets)))
+    for a, b in neardup.block_links(reps, Stage(spark), bits, blocks, far).collect():
+        got = [min(got[a], got[b]) if w in (got[a], got[b]) else w for w in got]
+    assert got == want and len(set(want)) < len(sets) - 30
+
+
+def test_near_copies_are_brute_force(spark, small):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    for i, t in rows[:40]:
+        w = t.split()
+        rows.append((i + 5000, " ".join(w[: len(w) - len(w) // 6])))
+    sets = {}
+    for i, t in rows:
+        w = t.lower().split()
+        k = min(5, len(w))
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if w else set()
+    like = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    want = sorted(i for i in sets if not any(j < i and like(sets[i], sets[j]) for j in sets))
+    assert sorted(x.doc_id for x in neardup.drop_near_copies(docs(spark, rows)).collect()) == want
+
+
 # -- 6 -------------------------------------------------------------------------
 
 PATTERNS = {
