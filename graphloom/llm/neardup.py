@@ -44,6 +44,8 @@ ROUND = 48
 RUN = 1024
 #: Long block values that are broadcast at most; more are joined by shuffle.
 MAX_BROADCAST = 20_000
+#: Nodes of the links that a task remembers.
+NODES = 1_000_000
 #: Fingerprints made at a time, and shingles of one that are counted at a time.
 TOGETHER, CHUNK = 32, 4096
 SKETCH = ("s0", "s1", "s2", "s3")
@@ -206,6 +208,27 @@ def _links(batches: Iterator[pa.RecordBatch], far: int) -> Iterator[pa.RecordBat
             return
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Only links that join what this task's earlier ones did not; after ``NODES`` nodes it starts anew."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    for b in batches:
+        kept = []
+        for i, (x, y) in enumerate(zip(*(c.to_pylist() for c in b.columns), strict=True)):
+            x, y = root(x), root(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                kept.append(i)
+        yield b.take(pa.array(kept, pa.int64()))
+        if len(up) > NODES:
+            up.clear()
+
+
 def block_links(reps: DataFrame, stage: Stage, bits: int, blocks: int, far: int) -> DataFrame:
     """Distinct ``(rep, bits)`` to links ``(a, b)`` that span the near rows of each value of each block."""
     out = None
@@ -226,9 +249,9 @@ def block_links(reps: DataFrame, stage: Stage, bits: int, blocks: int, far: int)
             part = F.when(F.col("n") > 0, F.lit(1) + F.least("side", "other") * F.col("n") + F.greatest("side", "other")).otherwise(0)
             dealt = dealt.select("key", part.alias("part"), "side", "rep", *SKETCH)
         dealt = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "side")
-        links = stage.cut(dealt.mapInArrow(lambda it: _links(it, far), "a long, b long").distinct())
+        links = stage.cut(dealt.mapInArrow(lambda it: _links(it, far), "a long, b long"))
         out = links if out is None else out.unionByName(links)
-    return out
+    return out.coalesce(max(1, reps.sparkSession.sparkContext.defaultParallelism)).mapInArrow(_forest, "a long, b long")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

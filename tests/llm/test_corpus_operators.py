@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -382,6 +383,22 @@ def test_block_links_are_brute_force(spark, run, monkeypatch):
     assert got == want and len(set(want)) < len(sets) - 30
 
 
+def test_forest_keeps_groups_with_few_links(monkeypatch):
+    r = np.random.default_rng(4)
+    a, b = r.integers(0, 300, 5000), r.integers(0, 300, 5000)
+    a, b = np.where(a % 3 == b % 3, a, b), b
+    batches = [pa.RecordBatch.from_arrays([pa.array(a[i : i + 500]), pa.array(b[i : i + 500])], names=["a", "b"]) for i in range(0, 5000, 500)]
+    for nodes, most in ((10**6, 299), (100, 5000)):
+        monkeypatch.setattr(neardup, "NODES", nodes)
+        got = [x for t in neardup._forest(iter(batches)) for x in zip(*(c.to_pylist() for c in t.columns), strict=True)]
+        assert len(got) <= most
+        label, want = list(range(300)), list(range(300))
+        for out, links in ((label, got), (want, zip(a.tolist(), b.tolist(), strict=True))):
+            for x, y in links:
+                out[:] = [min(out[x], out[y]) if w in (out[x], out[y]) else w for w in out]
+        assert label == want
+
+
 def test_near_copies_are_brute_force(spark, small):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     for i, t in rows[:40]:
