@@ -84,7 +84,7 @@ def body_overlap(shape: DataFrame, near: DataFrame) -> DataFrame:
 def pairs(c: DataFrame, stage, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, score, overlap) of pairs over the threshold, which the code itself may raise."""
     vocab, shape = stage.cut(vocabulary_bag(c)), stage.cut(structure_bag(c))
-    near = similar.candidate_pairs(c, vocab)
+    near = similar.candidate_pairs(c, vocab, similar.DF_CAP)
     at = c.select("id", "file", "line", "end_line")
     a, b = at.select(*[F.col(x).alias(f"{x}_a") for x in at.columns]), at.select(*[F.col(x).alias(f"{x}_b") for x in at.columns])
     nested = (F.col("file_a") == F.col("file_b")) & (
