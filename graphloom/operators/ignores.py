@@ -17,7 +17,8 @@ def directives(files: DataFrame) -> DataFrame:
     """
     lines = files.where(F.contains("content", F.lit("graphloom-ignore"))).select("file", F.posexplode(F.split("content", "\n")).alias("at", "text"))
     plain = ~F.trim("text").rlike(r"^(?://|#|/?\*|@)") & (F.trim("text") != "")
-    after = Window.partitionBy("file").orderBy("at").rowsBetween(1, Window.unboundedFollowing)
+    # from the last line up, as a frame that only grows is not read anew for each line
+    after = Window.partitionBy("file").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
     lines = lines.withColumn("next", F.min(F.when(plain, F.col("at"))).over(after))
     body = F.trim(F.regexp_replace("text", r"\*/\s*$", ""))
     hit = lines.where(F.contains("text", F.lit("graphloom-ignore"))).withColumn("body", body)
