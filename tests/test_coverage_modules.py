@@ -22,3 +22,10 @@ def test_executed_modules_are_roots(spark):
     assert {k: v for k, v in left(1).items() if k in ("unused", "ready")} == {"unused": 0.97, "ready": 0.97}
     assert set(left(1)) == {"unused", "ready", "gone"}
     assert set(left(99)) == {"unused", "ready", "helper", "inner", "gone"}
+
+
+def test_ambient_declarations_are_no_dead_code(spark):
+    files = {"src/index.ts": "main();\n", "src/types.ts": "declare class Far {\n}\nexport declare function there(): void;\ndeclare const VERSION: string;\nclass Near {\n}\nexport function declared() { return 1; }\nconst declare = 1;\nfunction plain() { return 2; }\n"}
+    stage = Stage(spark)
+    g = code.build(spark.createDataFrame(list(files.items()), "file string, content string"), stage)
+    assert {r.name for r in find_dead(g, stage, entry=("src/index.ts",), rules=()).collect()} == {"Near", "declared", "declare", "plain"}
